@@ -23,7 +23,8 @@ their first 200 bytes only, so suffixes are sorted to that depth:
 
 Runs are shuffled by anchor and streamed in order, never gathered. Anchors that
 a bounded sample shows to be frequent are salted; their contexts are counted
-with map-side combination, and their starts compared in a shuffle by key.
+with map-side combination, cut to finer runs by anchors of longer grams, and
+groups that are still large are compared in a shuffle by key.
 
 Cases: null text is empty: nothing removed. Texts shorter than 200 bytes keep
 all. Repeated rows are texts each, so copies of 200 bytes or more are removed
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, unit_hash
 
-GRAM, WORD = 100, 22
+GRAM, FINE_GRAM, WORD = 100, 160, 22
 SLICE = 1 << 20
 #: fixed values: odd multipliers
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -116,14 +117,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _table: list = []
 
 
-def runs_of(raw: bytes, length: int):
-    """anchor, context, first start, number of starts, whether the anchor occurs twice in the context: of each run of one slice."""
+def runs_of(raw: bytes, length: int, gram_size: int = GRAM):
+    """anchor, context, first start, number of starts, whether two starts of the run may be equal: of each run of one slice."""
     if not _table:
         _table.append(_powers(SLICE + 4096))
     up, down = _table[0]
     g = Grams(np.frombuffer(raw, np.uint8))
-    gram = g.of(GRAM)
-    anchor = least(gram, length - GRAM + 1)
+    gram = g.of(gram_size)
+    anchor = least(gram, length - gram_size + 1)
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     after = np.append(first[1:], len(anchor))
     leaf = g.double(8)
@@ -131,14 +132,9 @@ def runs_of(raw: bytes, length: int):
     last = after + length - 1 - 7  # leaves of a context end here
     context = mix((total[last] - total[first]) * down[first] + (after - first).astype(np.uint64))
     h = anchor[first]
-    # occurrences of the anchor in its own context
-    equal = np.zeros(len(gram), np.int64)
-    at = np.minimum(np.searchsorted(after, np.arange(len(gram)), side="right"), len(h) - 1)
-    for back in (0, 1):  # a gram may lie beyond the starts of its run
-        equal |= gram == h[np.maximum(at - back, 0)]
-    seen = np.concatenate(([0], np.cumsum(equal)))
-    ends = np.minimum(after + length - GRAM, len(gram))
-    return h, context, first, after - first, (seen[ends] - seen[first]) > 1
+    # two starts of a run can be equal only if the anchor occurs before its last start
+    early = np.concatenate(([0], np.cumsum(gram[: len(anchor)] == anchor)))
+    return h, context, first, after - first, early[after - 1] > early[first]
 
 
 def slices(raw: bytes, length: int):
@@ -220,9 +216,19 @@ def sift(sorted_runs: DataFrame, hot) -> DataFrame:
             both["kind"] = both["kind"].astype("int32")
             return both
 
-        for df in batches:
-            if carried is not None:
-                df = pd.concat([carried, df], ignore_index=True)
+        def gathered():
+            some, size = [], 0
+            for df in batches:
+                some.append(df)
+                size += len(df)
+                if size > 50_000:
+                    yield some
+                    some, size = [], 0
+            if some:
+                yield some
+
+        for some in gathered():
+            df = pd.concat(some if carried is None else [carried, *some], ignore_index=True)
             h = df["h"].to_numpy()
             other = np.flatnonzero(h != h[-1])
             keep = int(other[-1]) + 1 if len(other) else 0
@@ -264,8 +270,17 @@ def keys_of(contexts: list[bytes], first: np.ndarray, count: np.ndarray, anchor:
 
 
 def repeated_starts(contexts, first, count, anchor, length) -> np.ndarray:
-    """Whether each start of the contexts has an equal one among them: keys sorted, neighbours compared."""
-    a, z = keys_of(contexts, first, count, anchor, length)
+    """Whether each start of the contexts has an equal one among them: keys sorted, neighbours compared.
+
+    Names are made for some contexts at a time, so that a start takes no more than its keys.
+    """
+    made, at, held = [], 0, 0
+    for i, raw in enumerate(contexts):
+        held += len(raw)
+        if held > 1 << 19 or i == len(contexts) - 1:
+            made.append(keys_of(contexts[at : i + 1], first[at : i + 1], count[at : i + 1], anchor[at : i + 1], length))
+            at, held = i + 1, 0
+    a, z = (np.concatenate(x) for x in zip(*made))
     keys = np.concatenate((a, z))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
@@ -296,7 +311,7 @@ def spans(hit: np.ndarray):
     return first, np.flatnonzero(edge == -1) - first
 
 
-def compared(contexts: DataFrame, partitions: int, length: int, chunk: int = 8 << 20) -> DataFrame:
+def compared(contexts: DataFrame, partitions: int, length: int, chunk: int = 1 << 20) -> DataFrame:
     """Repeated starts of contexts, within whole groups of one anchor."""
 
     def run(batches):
@@ -336,11 +351,9 @@ def compared_by_key(contexts: DataFrame, length: int) -> DataFrame:
     """The same for hot anchors: a row for each key of each start, counted with map-side combination."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             cols = [batch.column(i).to_pylist() for i in range(7)]
             count = np.array(cols[4], np.int64)
-            if not len(count):
-                continue
             first = np.array(cols[3], np.int64)
             pairs = keys_of(cols[6], first, count, np.array(cols[0], np.int64), length)
             starts = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
@@ -353,6 +366,45 @@ def compared_by_key(contexts: DataFrame, length: int) -> DataFrame:
     return rows.filter("k <= 1").join(again, "key").select("id", "th", "s", F.lit(1).alias("n")).distinct()
 
 
+def finer(contexts: DataFrame, length: int) -> DataFrame:
+    """The runs within contexts by anchors of longer grams: h, c, id, th, s, n, k, multi and the bytes of each run's own context."""
+
+    def run(batches):
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            out = [[] for _ in range(9)]
+            for _, i, th, s, n, k, raw in zip(*(batch.column(j).to_pylist() for j in range(7))):
+                for h, c, first, size, multi in zip(*(x.tolist() for x in runs_of(raw, length, FINE_GRAM))):
+                    for col, v in zip(out, (h, c, i, th, s + first, size, k, multi, raw[first : first + size + length - 1])):
+                        col.append(v)
+            wide = lambda col: pa.array(np.array(col, np.uint64).view(np.int64))
+            plain = zip(out[2:], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([wide(out[0]), wide(out[1]), *(pa.array(c, t) for c, t in plain)], names=["h", "c", "id", "th", "s", "n", "k", "multi", "b"])
+
+    return contexts.mapInArrow(run, "h long, c long, id long, th long, s long, n int, k long, multi boolean, b binary")
+
+
+def compared_hot(contexts: DataFrame, partitions: int, length: int, most: int = 20_000) -> DataFrame:
+    """Repeated starts of the contexts of hot anchors, which may be far too many for one task.
+
+    The filters of step 1 again, with longer grams and counts with map-side
+    combination; groups of up to `most` contexts that are left are compared in
+    one task, larger ones in a shuffle by key.
+    """
+    spark = contexts.sparkSession
+    folder = f"{shared_dir(spark)}/finer-{uuid.uuid4().hex}"
+    finer(contexts, length).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    whole = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.max("multi").alias("multi"), F.min(F.struct("id", "th", "s", "n", "k")).alias("r"))
+    again = whole.filter("times > 1").select("h", "c")
+    marks = rows.filter("k <= 1").select("h", "c", "id", "th", "s", "n").join(again, ["h", "c"]).select("id", "th", "s", "n")
+    groups = whole.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.max("multi").alias("several")).filter("contexts > 1 or several")
+    chosen = whole.join(groups, "h").select(F.col("h"), F.col("c"), F.col("r.id").alias("i"), F.col("r.th").alias("x"), F.col("r.s").alias("s"), F.when(F.col("times") > 1, 2).otherwise(F.col("r.k")).alias("k2"), "contexts")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x"))
+    left = rows.drop("k", "multi").join(chosen, ["h", "c", "s"]).filter(same).select("h", "id", "th", "s", "n", F.col("k2").cast("long").alias("k"), "b", "contexts")
+    small, large = (left.filter(f"contexts {op} {most}").drop("contexts") for op in ("<=", ">"))
+    return marks.unionByName(compared(small, partitions, length)).unionByName(compared_by_key(large, length))
+
+
 def frequent_anchors(docs: DataFrame, length: int, total: int, sample: int = 4000, share: float = 0.004, most: int = 20_000) -> list[int]:
     """Anchors in at least `share` of the texts of a bounded sample."""
     drawn = docs.filter(unit_hash("id", "th", seed=5) * total < sample).filter(F.octet_length("t") <= SLICE)
@@ -387,7 +439,7 @@ def repeated(docs: DataFrame, length: int = 200, salts: int = 32) -> DataFrame:
         whole = summed.groupBy("h", "c").agg(F.sum("k").alias("k"), F.min(F.struct("id", "th", "s", "n")).alias("r"))
         single = summed.filter("k = 1").select("h", "c", "id", "th", "s", "n").join(whole.filter("k > 1").select("h", "c"), ["h", "c"]).select("id", "th", "s", "n")
         left = whole.select("h", "r.id", "r.th", "r.s", "r.n", "k")
-        marks = marks.unionByName(single).unionByName(compared_by_key(with_contexts(docs, left, length), length))
+        marks = marks.unionByName(single).unionByName(compared_hot(with_contexts(docs, left, length), parts, length))
     return marks
 
 
@@ -403,8 +455,8 @@ def covered(starts, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, with_kept: bool = True) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, kept (the remaining bytes) of each row."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t, F.length(t)).alias("th"), t.alias("t"))
     marks = repeated(rows, length)
@@ -430,9 +482,9 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
                     kept.append(raw[at : r["b"]])
                     at = r["e"]
                 kept = b"".join([*kept, raw[at:]])
-                for col, v in zip(out, (len(raw), len(raw) - len(kept), len(ranges or []), hashlib.sha256(kept).hexdigest(), kept)):
+                for col, v in zip(out, (len(raw), len(raw) - len(kept), len(ranges or []), hashlib.sha256(kept).hexdigest(), kept if with_kept else None)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = both.select("id", F.col("t").cast("binary"), "ranges").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done.withColumnRenamed("id", key)
+    return (done if with_kept else done.drop("kept")).withColumnRenamed("id", key)

@@ -57,6 +57,9 @@ def test_hot_anchors(documents, monkeypatch):
     df = documents(rows)
     assert S.frequent_anchors(df.selectExpr("doc_id id", "doc_id th", "text t").drop("x"), 200, len(rows))
     assert got(S.remove(df)) == expected(rows)
+    hot = S.compared_hot
+    monkeypatch.setattr(S, "compared_hot", lambda c, p, n: hot(c, p, n, most=3))
+    assert got(S.remove(df)) == expected(rows)
 
 
 def test_slices(documents, monkeypatch):
