@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltiq.llm import bpe, langid, mixing, near_dup, secrets
-from basaltiq.llm.common import shared_dir, table
+from basaltiq.llm.common import bounded_batches, shared_dir, table
 from basaltiq.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null, or without a letter); trees are learned from the labelled texts of docs. Others keep their row, with lang as predicted where it was null."""
+    bounded_batches(spark)
     model = langid.fit(docs)
     # one language a row: predicted from the row's own text, beside the row
     shared = spark.sparkContext.broadcast(model)
@@ -42,21 +43,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the least id."""
+    bounded_batches(spark)
     return near_dup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are blotted out of the texts; n_chars follows."""
+    bounded_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it whole."""
+    bounded_batches(spark)
     return mixing.remix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    bounded_batches(spark)
     return bpe.digests(docs, *tokenizer())
 
 
