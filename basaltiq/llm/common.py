@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once for several uses and kept on the executors' disks; parts of a lost executor are computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def crc_mod(column: str, mod: int):
     """crc32(column as text) mod `mod`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -35,14 +35,13 @@ never cross texts. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, unit_hash
+from .common import held, unit_hash
 
 GRAM, FINE_GRAM, WORD = 100, 160, 22
 SLICE = 1 << 20
@@ -390,10 +389,7 @@ def compared_hot(contexts: DataFrame, partitions: int, length: int, most: int =
     combination; groups of up to `most` contexts that are left are compared in
     one task, larger ones in a shuffle by key.
     """
-    spark = contexts.sparkSession
-    folder = f"{shared_dir(spark)}/finer-{uuid.uuid4().hex}"
-    finer(contexts, length).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    rows = held(finer(contexts, length))
     whole = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.max("multi").alias("multi"), F.min(F.struct("id", "th", "s", "n", "k")).alias("r"))
     again = whole.filter("times > 1").select("h", "c")
     marks = rows.filter("k <= 1").select("h", "c", "id", "th", "s", "n").join(again, ["h", "c"]).select("id", "th", "s", "n")
@@ -428,9 +424,7 @@ def repeated(docs: DataFrame, length: int = 200, salts: int = 32) -> DataFrame:
     else:
         listed = listed.withColumn("salt", F.lit(0).cast("long"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    sift(listed.repartition(parts, "h", "salt").sortWithinPartitions("salt", "h", "c"), hot).write.parquet(folder)
-    kinds = spark.read.parquet(folder)
+    kinds = held(sift(listed.repartition(parts, "h", "salt").sortWithinPartitions("salt", "h", "c", "id", "th", "s"), hot))
     marks = kinds.filter("kind = 0").select("id", "th", "s", "n")
     todo = kinds.filter("kind = 1").select("h", "id", "th", "s", "n", "k")
     marks = marks.unionByName(compared(with_contexts(docs, todo, length), parts, length))
@@ -460,14 +454,12 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t, F.length(t)).alias("th"), t.alias("t"))
     marks = repeated(rows, length)
-    folder = f"{shared_dir(docs.sparkSession)}/marks-{uuid.uuid4().hex}"
     # neighbouring runs of a text are joined before they are gathered
     order = Window.partitionBy("id", "th").orderBy("s", "n")
     reach = F.max(F.col("s") + F.col("n") + (length - 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = marks.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranges = joined.groupBy("id", "th", "g").agg(F.min("s").alias("b"), F.max(F.col("s") + F.col("n") + (length - 1)).alias("e"))
-    ranges.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("ranges")).write.parquet(folder)
-    per = docs.sparkSession.read.parquet(folder).withColumnsRenamed({"id": "i", "th": "x"})
+    per = held(ranges.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("ranges")).withColumnsRenamed({"id": "i", "th": "x"}))
     if (per.select(F.sum(F.size("ranges") * 16 + 32)).first()[0] or 0) < 48 << 20:
         per = F.broadcast(per)  # of checked size
     both = rows.join(per, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("x")), "left")
