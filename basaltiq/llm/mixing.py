@@ -68,13 +68,13 @@ def permuted(x: Column, size: Column, *seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
 
 
-def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, chunk: int = 1 << 16) -> DataFrame:
+def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, chunk: int = 1 << 14) -> DataFrame:
     """sid, epoch, block, shard: one row for each block slot of the mix."""
     total = plan.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / shard_slots)).cast("long").alias("shards"))
     rows = plan.filter("slots > 0").select("sid", "blocks", "slots")
-    # in chunks, so that no row makes more than `chunk` rows in one task
+    # in chunks, so that no row makes more than `chunk` rows; a given number of partitions isn't coalesced, however few the rows before they are exploded
     rows = rows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(chunk).cast("long"))))
-    rows = rows.repartition("sid", "from")
+    rows = rows.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "from")
     rows = rows.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + chunk, F.col("slots")) - 1)))
     rows = rows.crossJoin(F.broadcast(total))  # one row
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "sid", "slot"), F.col("shards")))
@@ -109,7 +109,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     laid = packed(rows, plan)
     spread = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = spread.join(uses, ["sid", "block"], "left").groupBy("sid", "at").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(words * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+    # the plan's estimate of `uses` doesn't see that rows were exploded, and would broadcast them
+    taken = spread.join(uses.hint("shuffle_merge"), ["sid", "block"], "left").groupBy("sid", "at").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(words * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     about = F.broadcast(plan.select("sid", F.col("source").alias("s"), "source_size", "target"))
     some = taken.join(about, "sid").select("doc_id", F.col("s").alias("source"), "size", "source_size", "target", "taken")
     none = rows.filter("size = 0").join(about, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
