@@ -57,14 +57,13 @@ class PPM:
         #: step[k]: id of a string of k bytes, times width, plus the next symbol -> id of k + 1 bytes; 0: not seen
         self.step, self.cost, self.escape = [], [], []
         below_cost = np.full((1, n_lang), 8.0)
-        ids = np.ones(len(sym) + 1, np.int64)  # of the string of k bytes that ends before each position; the empty one is 1
+        ids = None  # of the string of k bytes that ends at each position; the empty one is 1
         size, suffix_of_prefix = 2, None
         for k in range(order + 1):
-            prev = ids[:-1] if k == 0 else np.concatenate(([0], ids[:-1]))
-            prev = np.ones(len(sym), np.int64) if k == 0 else prev
+            prev = np.ones(len(sym), np.int32) if k == 0 else np.concatenate((np.zeros(min(1, len(sym)), np.int32), ids[:-1]))
             ok = (prev > 0) & (sym > 1)
-            key = prev * self.width + sym
-            found, inverse = np.unique(key[ok], return_inverse=True)
+            key = (prev * np.int32(self.width) + sym)[ok]
+            found, inverse = np.unique(key, return_inverse=True)
             step = np.zeros(size * self.width, np.int32)
             step[found] = np.arange(1, len(found) + 1)
             count = np.bincount(inverse * n_lang + owner[ok], minlength=len(found) * n_lang).reshape(-1, n_lang)[: len(found)].astype(float)
@@ -76,8 +75,9 @@ class PPM:
             escape = np.where(total > 0, -np.log2(np.where(total > 0, distinct, 1.0) / room), 0.0)
             escape[0] = 0.0
             # the same string without its first byte, one level down
-            new = np.zeros(len(sym), np.int64)
-            new[ok] = step[key[ok]]
+            new = np.zeros(len(sym), np.int32)
+            new[ok] = step[key]
+            del inverse, key
             shorter = np.zeros(len(found) + 1, np.int64)
             if k:
                 shorter[new[ok]] = suffix_of_prefix[ok]
@@ -155,7 +155,7 @@ class PPM:
         return [self.langs[b] for b in best], score.tolist(), (least / size).tolist()
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 3, docs_per_lang: int = 400, longest: int = 1 << 16, most_langs: int = 200) -> PPM:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 3, docs_per_lang: int = 200, longest: int = 1 << 15, most_langs: int = 200) -> PPM:
     """Trees of a bounded sample: up to `docs_per_lang` labelled texts of at most `longest` bytes in each of the `most_langs` most frequent languages."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).filter("t is not null and g is not null").filter(F.octet_length("t").between(1, longest))
     kept = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(most_langs).select("g")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
 WORD = re.compile(r"\w+")
 #: fixed values: odd multipliers
@@ -192,7 +192,7 @@ def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     ids = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)  # of checked size
-    need = cut(texts.join(ids, texts["id"] == ids["v"], "left_semi").select("id", "t"))
+    need = held(texts.join(ids, texts["id"] == ids["v"], "left_semi").select("id", "t"))
     one, two = need.select(F.col("id").alias("a"), F.col("t").alias("ta")), need.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     both = edges.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
@@ -237,15 +237,15 @@ def stars(buckets: DataFrame, leader) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 10, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
     """key, class_id (the least key of its class) and n_links (verified links of its text to other texts) of each row."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
-    first = cut(sketch(rows, k, sketches, l))
-    reps = cut(first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    first = held(sketch(rows, k, sketches, l))
+    reps = held(first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     texts = rows.filter("t is not null and id is not null")
     slim = reps.filter(F.size("keys") > 0).select("id", "n", "keys")
     near = F.col("short") >= F.col("long") * least - 1e-9
 
     each = slim.select("id", "n", F.posexplode("keys").alias("p", "x")).select("id", "n", F.xxhash64("p", "x").alias("key"))
-    one = cut(stars(each, F.min(F.struct("id", "n"))).filter(near).select("a", "b").distinct())
-    links = cut(verified(one, texts, least))
+    one = held(stars(each, F.min(F.struct("id", "n"))).filter(near).select("a", "b").distinct())
+    links = held(verified(one, texts, least))
     label = components(links)
 
     pairs = F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda p: F.struct(F.xxhash64(p, F.get("keys", p), F.get("keys", (p + 1) % sketches)).alias("x"), F.xxhash64(p, F.lit(1), F.get("keys", p), F.get("keys", (p + 2) % sketches)).alias("y")))
@@ -254,9 +254,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5
     for end in ("a", "b"):
         named = label.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
         led = led.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    two = cut(led.filter("ca != cb").select("a", "b").join(one, ["a", "b"], "left_anti"))
+    two = held(led.filter("ca != cb").select("a", "b").join(one, ["a", "b"], "left_anti"))
     more = verified(two, texts, least)
-    links = cut(links.union(more))
+    links = held(links.union(more))
     label = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
@@ -269,7 +269,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """docs with one row of each class; rows with null key stay."""
     found = classes(docs, text, key, **how)
-    gone = cut(found.filter(F.col("class_id") != F.col(key)).select(F.col(key).alias("_k")).distinct())
+    gone = held(found.filter(F.col("class_id") != F.col(key)).select(F.col(key).alias("_k")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)  # of checked size
     left = docs.join(gone, docs[key] == gone["_k"], "left_anti")
