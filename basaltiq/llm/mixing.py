@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 10
@@ -103,7 +103,7 @@ def packed(rows: DataFrame, plan: DataFrame, bucket_rows: int = 20_000) -> DataF
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(5, 2, 1), most_epochs: int = 3, block: int = 64, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of each row of docs."""
-    rows = cut(sizes(docs, text, key, source))
+    rows = held(sizes(docs, text, key, source))
     plan = cut(targets(rows, weights, most_epochs, block))
     uses = slots(plan, seed=seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("uses"))
     laid = packed(rows, plan)

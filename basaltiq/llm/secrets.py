@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import held
 
 #: fixed values: the base kinds, in order, as pattern, group and least length of that group
 BASE = {
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", level: float
     first = rows.select("doc_id", "tie", *columns, runs)
     base = F.concat(*[F.expr(f"transform({kind}, s -> struct(s.start as start, {k} as kind, s.end as end))") for k, kind in enumerate(BASE)])
     outside = F.filter("runs", lambda r: ~F.exists("base", lambda s: (s.start < r.end) & (r.start < s.end)))
-    first = cut(first.withColumn("base", base).withColumn("runs", outside).select("doc_id", "tie", "base", "runs"))
+    first = held(first.withColumn("base", base).withColumn("runs", outside).select("doc_id", "tie", "base", "runs"))
     each = first.filter(F.size("runs") > 0).select("doc_id", "tie", F.explode("runs").alias("r")).select("doc_id", "tie", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.value").alias("value")).distinct()
     more = random_runs(each, level).groupBy(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")).agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("kind"), "end")).alias("more"))
     both = first.join(more, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tie") == F.col("_t")), "left")
