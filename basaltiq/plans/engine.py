@@ -192,8 +192,6 @@ class Engine:
             self._system(name).createOrReplaceTempView(name)
         for name, view in self.views.items():
             self.spark.sql(f"CREATE OR REPLACE TEMP VIEW `{name}` {view}")
-        for gone in self.__dict__.setdefault("_gone", set()) & words:
-            self.spark.catalog.dropTempView(gone)
 
     def _select(self, sql: str, params=()) -> DataFrame:
         self._bind(sql)
