@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import compat as C
 from .operators import relational as R
 from .plans.engine import Connection, Engine
-from .sources import journal, jsondocs, modeldsl
+from .sources import entities, journal, jsondocs, modeldsl
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FLAGSHIP = """SELECT n_name, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) AS revenue
@@ -401,6 +401,119 @@ def window_hourly(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# entities kept by a journal
+def event_journal(spark, sf_dir):
+    """Events as commands to their users: one in three expects a version, one in four has a scope key."""
+    e = load(spark, sf_dir, "events")
+    expected = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 7)
+    scope = F.when(F.col("event_id") % 4 == 0, F.col("event_type"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("entity"), F.lit("upsert").alias("kind"), expected.alias("expected"), scope.alias("scope"), F.col("props").alias("payload"))
+
+
+@frame("""WITH RECURSIVE c AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS entity, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS expected,
+  CASE WHEN event_id % 4 = 0 THEN event_type END AS scope, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT entity, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS version, '' AS status FROM (SELECT DISTINCT entity FROM c) x
+  UNION ALL SELECT entity, n, seq, CASE WHEN status = 'applied' AND scope IS NOT NULL THEN list_append(seen, scope) ELSE seen END, CASE WHEN status = 'applied' THEN version + 1 ELSE version END, status
+  FROM (SELECT c.entity, c.n, c.seq, s.seen, s.version, c.scope, CASE WHEN c.scope IS NOT NULL AND list_contains(s.seen, c.scope) THEN 'replay' WHEN c.expected IS NOT NULL AND c.expected <> s.version THEN 'conflict' ELSE 'applied' END AS status
+    FROM s JOIN c ON c.entity = s.entity AND c.n = s.n + 1) y)
+SELECT entity, seq, status, version FROM s WHERE n > 0""")
+def journal_outcomes(spark, sf_dir):
+    return journal.outcomes(event_journal(spark, sf_dir)).select("entity", "seq", "status", "version")
+
+
+@frame("SELECT CAST(user_id AS VARCHAR) AS entity, MAX(event_id) AS seq FROM events GROUP BY user_id")
+def journal_compaction(spark, sf_dir):
+    j = event_journal(spark, sf_dir)
+    snapshot = entities.compacted(None, j.filter("seq <= 500"))
+    return entities.compacted(snapshot, entities.tail(j, 500)).select("entity", "seq")
+
+
+@frame("""SELECT user_id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split('user' || chr(1) || CAST(user_id AS VARCHAR), ''),
+  lambda x: CAST(CASE WHEN x = chr(1) THEN 255 ELSE ord(x) END AS HUGEINT))), lambda h, b: (xor(h, b) * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT)) % 12 AS INTEGER) AS shard FROM events""")
+def shard_routing(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("user_id", entities.shard_of(F.lit("user"), F.col("user_id").cast("string"), 12).alias("shard"))
+
+
+@frame("SELECT event_id, CASE WHEN event_type = 'click' THEN 'missing z' WHEN event_type = 'view' THEN 'type of k' WHEN event_type = 'error' THEN 'unexpected k' WHEN event_type = 'signup' THEN 'root' END AS fault FROM events")
+def payload_contract(spark, sf_dir):
+    p = F.col("props")
+    broken = F.when(F.col("event_type") == "signup", entities.payload_fault(F.concat(F.lit("["), p, F.lit("]")), {}))
+    for event, required, optional, extra in (("click", {"z": "integer"}, {}, True), ("view", {"k": "text"}, {}, True), ("error", {}, {"z": "text"}, False)):
+        broken = broken.when(F.col("event_type") == event, entities.payload_fault(p, required, optional, extra))
+    return load(spark, sf_dir, "events").select("event_id", broken.otherwise(entities.payload_fault(p, {"k": "float"}, {"z": "null"}, False)).alias("fault"))
+
+
+def event_outbox(spark, sf_dir):
+    status = F.when(F.col("event_type").isin("click", "error"), "dispatched").otherwise("pending")
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("outbox_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").alias("created"))
+
+
+@frame("SELECT user_id AS outbox_id, seq, created FROM (SELECT user_id, event_id AS seq, ts AS created, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) x WHERE n = 1 AND event_type NOT IN ('click', 'error')")
+def outbox_pending(spark, sf_dir):
+    return entities.pending(event_outbox(spark, sf_dir)).select("outbox_id", "seq", "created")
+
+
+@frame("SELECT user_id AS outbox_id, 'dispatched' AS status FROM (SELECT user_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) x WHERE n = 1 AND event_type NOT IN ('click', 'error') AND user_id % 2 = 0")
+def outbox_dispatch(spark, sf_dir):
+    box = event_outbox(spark, sf_dir)
+    return entities.dispatched(box, box.filter("outbox_id % 2 = 0").select("outbox_id")).select("outbox_id", "status")
+
+
+def two_states(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return c.filter("c_custkey % 3 > 0"), c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+
+
+@frame("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal ELSE c_acctbal + 1 END AS c_acctbal FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0")
+def restore_skip(spark, sf_dir):
+    return entities.restored(*two_states(spark, sf_dir), "c_custkey", "skip")
+
+
+@frame("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0")
+def restore_overwrite(spark, sf_dir):
+    return entities.restored(*two_states(spark, sf_dir), "c_custkey", "overwrite")
+
+
+@frame("SELECT 'Conflict' AS error")
+def restore_conflict(spark, sf_dir):
+    try:
+        entities.restored(*two_states(spark, sf_dir), "c_custkey")
+        kind = "none"
+    except Exception as x:  # noqa: BLE001  its kind is the result
+        kind = type(x).__name__
+    return spark.createDataFrame([(kind,)], "error string")
+
+
+@frame("SELECT c_custkey, c_acctbal * 2 AS balance, 'new' AS state FROM customer")
+def schema_migration(spark, sf_dir):
+    steps = {1: lambda d: d.withColumnRenamed("c_acctbal", "balance"), 2: lambda d: d.withColumn("balance", F.col("balance") * 2).withColumn("state", F.lit("new"))}
+    return entities.migrated(load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), 1, steps, 3)
+
+
+@frame("SELECT event_id FROM events WHERE NOT (event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-20' - INTERVAL 5 DAY)")
+def prune_stale(spark, sf_dir):
+    items = load(spark, sf_dir, "events").withColumn("touches", F.col("event_id") % 3).withColumnRenamed("ts", "created")
+    return entities.pruned(items, F.lit("2024-01-20").cast("timestamp_ntz"), "5 DAY").select("event_id")
+
+
+@frame("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND (ts <= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY OR n <= hot - 50) THEN 'cold'
+  WHEN event_id % 2 = 1 AND event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-31' - INTERVAL 25 DAY THEN 'gone' WHEN event_id % 2 = 0 THEN 'hot' ELSE 'cold' END AS place
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id % 2 ORDER BY ts) AS n, COUNT(*) OVER (PARTITION BY event_id % 2) AS hot FROM events) x""")
+def lifecycle(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "hot").otherwise("cold").alias("place"), F.col("ts").alias("accessed"), (F.col("event_id") % 3).alias("touches"))
+    return entities.maintained(e, F.lit("2024-01-31").cast("timestamp_ntz"), "20 DAY", "25 DAY", 50, True, "event_id").select("event_id", "place")
+
+
+@frame("SELECT n_nationkey, 'invert' AS \"function\", CASE WHEN n_nationkey = 0 THEN 'failed: division by zero' ELSE 'invoked' END AS status, CASE WHEN n_nationkey > 0 THEN CAST(100 // n_nationkey AS VARCHAR) END AS result FROM nation")
+def bulk_invocation(spark, sf_dir):
+    def invert(n):
+        if n == 0:
+            raise ZeroDivisionError("division by zero")
+        return 100 // n
+
+    return entities.invoked(load(spark, sf_dir, "nation"), "invert", {"invert": invert}, "n_nationkey", "n_nationkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["flagship"](spark, sf_dir)
 

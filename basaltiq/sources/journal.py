@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +18,52 @@ def latest(journal: DataFrame, key: str = "entity", seq: str = "seq") -> DataFra
     return last.filter("kind != 'delete'") if "kind" in journal.columns else last
 
 
-def idempotent(journal: DataFrame) -> DataFrame:
-    """The first record of each scope key; records without one all stay."""
-    w = Window.partitionBy("entity", "scope").orderBy("seq")
-    return journal.withColumn("__n", F.when(F.col("scope").isNull(), 1).otherwise(F.row_number().over(w))).filter("__n = 1").drop("__n")
+def outcomes(journal: DataFrame) -> DataFrame:
+    """Each record with what became of it: `status` (applied, replay, conflict) and `version`, the entity's after it.
+
+    Records of an entity are taken in the order of seq. One whose scope key
+    was applied before is a replay and changes nothing; one that expects a
+    version the entity hasn't got is a conflict, and may be tried again under
+    the same scope key; others raise the version by one. The entity's records
+    stream through one task, which holds a scope key only until its last
+    record, so a hot entity needs time but no memory.
+    """
+    again = Window.partitionBy("entity", "scope")
+    plain = journal.filter("scope IS NULL").withColumn("until", F.lit(None).cast("long"))
+    scoped = journal.filter("scope IS NOT NULL").withColumn("until", F.max("seq").over(again))
+    ordered = plain.unionByName(scoped).repartition("entity").sortWithinPartitions("entity", "seq")
+
+    def run(batches):
+        entity, version, open_scopes = None, 0, set()
+        for batch in batches:
+            status, versions = [], []
+            columns = [batch.column(c).to_pylist() for c in ("entity", "seq", "expected", "scope", "until")]
+            for at, seq, expected, scope, until in zip(*columns):
+                if at != entity:
+                    entity, version, open_scopes = at, 0, set()
+                if scope is not None and scope in open_scopes:
+                    status.append("replay")
+                elif expected is not None and expected != version:
+                    status.append("conflict")
+                else:
+                    version += 1
+                    status.append("applied")
+                    if scope is not None and until > seq:
+                        open_scopes.add(scope)
+                if scope is not None and until <= seq:
+                    open_scopes.discard(scope)
+                versions.append(version)
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(status, pa.string()), pa.array(versions, pa.int64())], names=[*names, "status", "version"])
+
+    names = journal.columns
+    types = ", ".join(f"`{n}` {t}" for n, t in journal.dtypes)
+    return ordered.mapInArrow(run, f"{types}, status string, version long")
 
 
 def applied(journal: DataFrame) -> DataFrame:
-    """Records in the order of their entity, each accepted if the version it expects is the entity's at that time; `version` is the one after it."""
-    once = idempotent(journal)
-    per = once.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "expected", "scope", "payload"))).alias("rs"))
-    zero = F.expr("struct(0L as v, cast(array() as array<struct<seq:bigint,kind:string,payload:string,version:bigint>>) as ok)")
-
-    def step(acc, r):
-        fits = r.expected.isNull() | (r.expected == acc.v)
-        record = F.struct(r.seq.alias("seq"), r.kind.alias("kind"), r.payload.alias("payload"), (acc.v + 1).alias("version"))
-        return F.struct(F.when(fits, acc.v + 1).otherwise(acc.v).alias("v"), F.when(fits, F.concat(acc.ok, F.array(record))).otherwise(acc.ok).alias("ok"))
-
-    return per.select("entity", F.explode(F.aggregate("rs", zero, step, lambda a: a.ok)).alias("r")).select("entity", "r.*")
+    """The records that were applied, each with the version it made."""
+    return outcomes(journal).filter("status = 'applied'").select("entity", "seq", "kind", "payload", "version")
 
 
 def projection(journal: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -4,7 +4,7 @@ from basaltiq.functions import compat as C
 from basaltiq.operators import relational as R
 from basaltiq.plans.engine import Connection, Engine
 from basaltiq.plans.sqlfront import first_statement, split_top, translate
-from basaltiq.sources import journal, jsondocs, modeldsl
+from basaltiq.sources import entities, journal, jsondocs, modeldsl
 from basaltiq.streaming import streams
 from pyspark.sql import functions as F
 
@@ -192,6 +192,66 @@ def test_journal(spark):
     assert values(journal.pages(journal.latest(j), "entity", 0, 1).select("entity")) == [("a",)]
 
 
+def test_outcomes(spark):
+    rows = [(1, "a", "upsert", 5, "s", "x"), (2, "a", "upsert", 0, "s", "y"), (3, "a", "upsert", None, "s", "z"), (4, "a", "upsert", 1, None, None), (5, None, "upsert", 0, "s", "n"), (6, None, "upsert", None, "s", "n")]
+    got = {r.seq: (r.status, r.version) for r in journal.outcomes(spark.createDataFrame(rows, journal.RECORD)).collect()}
+    # a conflict doesn't use up its scope key; a null entity is an entity
+    assert got == {1: ("conflict", 0), 2: ("applied", 1), 3: ("replay", 1), 4: ("applied", 2), 5: ("applied", 1), 6: ("replay", 1)}
+    assert journal.outcomes(spark.createDataFrame([], journal.RECORD)).count() == 0
+
+
+def test_shards(spark):
+    def fnv(*parts):
+        h = entities.FNV_BASIS
+        for b in b"\xff".join(p.encode() for p in parts):
+            h = (h ^ b) * entities.FNV_PRIME % (1 << 64)
+        return h
+
+    names = ["", "a", "é漢字", "x" * 3000]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for shards in (1, 7, 1024, 2**31 - 1):
+        assert values(df.select(entities.shard_of(F.lit("t"), F.col("n"), shards))) == [(fnv("t", n) % shards,) for n in names]
+    assert values(df.limit(1).select(entities.shard_of(F.lit("t"), F.col("n"), 0))) == [(0,)]
+    assert entities.leaders(3, "d", {1: "e"}) == ["d", "e", "d"]
+    with pytest.raises(E.ExecutionError):
+        entities.leaders(3, "d", {3: "e"})
+
+
+def test_payload_contract(spark):
+    cases = [('{"a": 1}', None), ('{"a": 1.5}', "type of a"), ('{"a": null}', "type of a"), ("{}", "missing a"), ("[1]", "root"), ("{", "root"), (None, "root"), ('{"a": 2, "f": 3}', None), ('{"a": 2, "f": "x"}', "type of f"), ('{"a": 1, "q": 0, "b": 0}', "unexpected b"), ('{"a": {"x": 1}}', "type of a")]
+    df = spark.createDataFrame(cases, "p string, want string")
+    got = df.select("p", "want", entities.payload_fault(F.col("p"), {"a": "integer"}, {"f": "float"}, extra=False).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert values(df.limit(1).select(entities.payload_fault(F.lit("[1]"), {}, root="array"))) == [(None,)]
+    with pytest.raises(E.ExecutionError):
+        entities.payload_fault(F.col("p"), {"a": "int"})
+
+
+def test_smallest(spark):
+    numbers = [-(2**63), -5, -5, -1, 0, 0, 3, 2**40, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    for k in range(1, len(numbers) + 1):
+        assert entities.smallest(df, F.col("n"), k) == (numbers[k - 1], numbers.index(numbers[k - 1]))
+
+
+def test_lifecycle_and_outbox(spark):
+    items = spark.sql("SELECT CAST(id AS STRING) AS entity, 'hot' AS place, TIMESTAMP '2024-01-01' AS accessed, 0 AS touches FROM range(10)")
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    left = entities.maintained(items, now, "1 DAY", "1 DAY", max_hot=4)
+    assert left.filter("place = 'hot'").count() == 4  # though all are equally idle
+    assert entities.maintained(left, now, "1 DAY", "1 HOUR").filter("place = 'gone'").count() == 6
+    box = spark.createDataFrame([("m", 1, "pending", 1), ("n", 2, "pending", 2), ("n", 3, "dispatched", 2)], "outbox_id string, seq long, status string, created long")
+    sent = entities.dispatched(box, spark.createDataFrame([("m",), ("n",), ("m",)], "outbox_id string"))
+    assert values(sent) == [("m", 4, "dispatched", 1)]
+    assert entities.pending(box.unionByName(sent)).isEmpty()
+    with pytest.raises(E.ExecutionError):
+        entities.dispatched(box, spark.createDataFrame([("o",)], "outbox_id string"))
+    with pytest.raises(E.Conflict):
+        entities.restored(items, items.limit(1), "entity")
+    with pytest.raises(E.ExecutionError):
+        entities.migrated(items, 1, {}, 2)
+
+
 def test_change_log(spark, tmp_path):
     log = journal.ChangeLog(spark, str(tmp_path / "log"))
     e = Engine(spark, log)
