@@ -79,6 +79,7 @@ class Engine:
         self.counts = {"statements": 0, "errors": 0}
         self.tx: Transaction | None = None
         self.log = log
+        self.syntax: list = []
 
     # names
 
@@ -102,13 +103,22 @@ class Engine:
     def fork(self) -> Engine:
         """An independent engine over the same versions; open transactions of the parent are not seen."""
         child = Engine(self.spark)
-        child.tables, child.views = dict(self.tables), dict(self.views)
+        child.tables, child.views, child.syntax = dict(self.tables), dict(self.views), list(self.syntax)
         return child
 
     def stats(self, name: str) -> dict:
         t = self.table(name)
         return {"rows": t.data.count(), "columns": [c.name for c in t.columns], "version": t.version, "indexes": [i[0] for i in t.indexes]}
 
+    def register_function(self, name: str, function, returns: str) -> None:
+        """A Python function for SQL, by name; values come in Arrow batches. A pandas UDF, aggregates among them, is registered as it is."""
+        made = function if hasattr(function, "evalType") else F.udf(function, returns, useArrow=True)
+        self.spark.udf.register(name, made)
+
+    def register_syntax(self, rewrite) -> None:
+        """A function from SQL text to SQL text, applied to each statement before others that were registered later."""
+        self.syntax.append(rewrite)
+
     # statements
 
     def query(self, sql: str, *params) -> DataFrame:
@@ -119,6 +129,8 @@ class Engine:
 
     def execute(self, sql: str, *params) -> Result:
         """Runs the first statement of sql."""
+        for rewrite in self.syntax:
+            sql = rewrite(sql)
         text, began = first_statement(sql), time.time()
         head = text.split(None, 1)[0].upper() if text else ""
         error = None
@@ -500,8 +512,13 @@ class Engine:
                 ready[name] = replace(now, data=data, version=now.version + 1)
         self.tables.update(ready)
         if self.log:
-            for name, t in ready.items():
-                self.log.append(name, "commit", t.data)
+            self.log.commit([(name, "commit", t.data) for name, t in ready.items()])
+
+    def checkpoint(self) -> None:
+        """Writes every table whole to the log, which is then read from there on."""
+        if not self.log:
+            raise ExecutionError("the engine has no log")
+        self.log.checkpoint({name: t.data for name, t in self.tables.items()})
 
     def vacuum(self) -> int:
         """Lets go of what no version in use needs; returns how many cached tables Spark dropped."""

@@ -514,6 +514,14 @@ def bulk_invocation(spark, sf_dir):
     return entities.invoked(load(spark, sf_dir, "nation"), "invert", {"invert": invert}, "n_nationkey", "n_nationkey")
 
 
+@frame("SELECT n_nationkey, n_nationkey * 2 + 1 AS odd, CASE WHEN n_name LIKE 'A%' THEN 1 ELSE 0 END AS a FROM nation")
+def registered_function(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.register_function("odd_of", lambda n: None if n is None else 2 * n + 1, "bigint")
+    e.register_syntax(lambda sql: sql.replace("STARTS WITH 'A'", "LIKE 'A%'"))
+    return e.query("SELECT n_nationkey, odd_of(n_nationkey) AS odd, CASE WHEN n_name STARTS WITH 'A' THEN 1 ELSE 0 END AS a FROM nation")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["flagship"](spark, sf_dir)
 

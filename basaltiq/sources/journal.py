@@ -76,28 +76,56 @@ def pages(entities: DataFrame, order: str, offset: int, limit: int) -> DataFrame
 
 
 class ChangeLog:
-    """Committed versions as Parquet in a folder: appends are logged as such, and replayed after the last checkpoint."""
+    """Committed changes as Parquet in a folder that outlives the session.
+
+    A commit writes the rows of each table it changed, then one file of the
+    manifest; only the latter makes it visible, so a commit counts for all its
+    tables or for none. An `insert` holds the rows added, other kinds the whole
+    table. A checkpoint is a commit of all tables, before which nothing is read.
+    """
+
+    MANIFEST = "commit long, name string, kind string, path string"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.entries = spark, folder, []
+        self.spark, self.folder = spark, folder
+        self.commits = max((e.commit + 1 for e in self._entries()), default=0)
+
+    def _entries(self) -> list:
+        """The manifest since the last checkpoint, in order: one small row for each table a commit changed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return []
+        rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.folder}/manifest")
+        start = rows.filter("kind = 'checkpoint'").agg(F.max("commit")).first()[0] or 0
+        return rows.filter(F.col("commit") >= start).orderBy("commit", "name").collect()
+
+    def commit(self, changes: list[tuple[str, str, DataFrame | None]]) -> None:
+        """Makes changes (table, kind, rows) durable together; a `drop` has no rows."""
+        if not changes:
+            return
+        rows = []
+        for table, kind, data in changes:
+            path = None if data is None else f"{self.folder}/data/{self.commits:08d}-{uuid.uuid4().hex}"
+            if data is not None:
+                data.write.parquet(path)
+            rows.append((self.commits, table, kind, path))
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.commits += 1
 
     def append(self, table: str, kind: str, data: DataFrame) -> None:
-        path = f"{self.folder}/{len(self.entries):08d}-{uuid.uuid4().hex}"
-        data.write.parquet(path)
-        self.entries.append((table, kind, path))
-        rows = [(i, *e) for i, e in enumerate(self.entries)]
-        self.spark.createDataFrame(rows, "seq long, table string, kind string, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest-{len(self.entries) % 2}")
+        self.commit([(table, kind, data)])
+
+    def checkpoint(self, tables: dict[str, DataFrame]) -> None:
+        self.commit([(name, "checkpoint", data) for name, data in tables.items()])
 
     def recover(self) -> dict[str, DataFrame]:
-        """The tables as of the last entry."""
-        manifests = []
-        for k in (0, 1):
-            try:
-                manifests.append(self.spark.read.parquet(f"{self.folder}/manifest-{k}").orderBy("seq").collect())
-            except Exception:  # noqa: BLE001  a manifest that was being written, or none yet
-                continue
-        out: dict[str, DataFrame] = {}
-        for r in max(manifests, key=len, default=[]):
-            data = self.spark.read.parquet(r.path)
-            out[r.table] = out[r.table].union(data) if r.kind == "insert" and r.table in out else data
-        return out
+        """The tables as of the last commit, each from one scan."""
+        paths: dict[str, list[str]] = {}
+        for e in self._entries():
+            if e.kind == "drop":
+                paths.pop(e.name, None)
+            elif e.kind == "insert":
+                paths.setdefault(e.name, []).append(e.path)
+            else:
+                paths[e.name] = [e.path]
+        return {name: self.spark.read.parquet(*ps) for name, ps in paths.items()}

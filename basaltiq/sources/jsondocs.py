@@ -29,13 +29,33 @@ def documents(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
 
 
+def spaced(docs: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows in even steps. Places follow from the counts of partitions, without a sort."""
+    if most < 1:
+        return docs.limit(0)
+    at = docs.withColumn("_at", F.monotonically_increasing_id())  # partition * 2**33 + place in it
+    counts = at.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()  # one row a partition
+    total = sum(r["count"] for r in counts)
+    if total <= most:
+        return docs
+    before, starts = 0, {}
+    for r in sorted(counts):
+        starts[r.p] = before - (r.p << 33)
+        before += r["count"]
+    shift = F.create_map(*[F.lit(x).cast("long") for pair in starts.items() for x in pair])
+    place = F.col("_at") + F.element_at(shift, F.shiftright("_at", 33))
+    # the rows that begin a new one of `most` equal parts
+    part = lambda x: F.floor(x * most / total)
+    return at.withColumn("_place", place).filter((F.col("_place") == 0) | (part(F.col("_place")) != part(F.col("_place") - 1))).drop("_at", "_place")
+
+
 def infer(docs: DataFrame, how: str = "all", sample: int = 100) -> list[tuple[str, str, bool]]:
     """(name, type, nullable) of each field: id first, then by name.
 
-    `first` looks at one document, `sampled` at about `sample`, `all` at every one. Integers widen to
+    `first` looks at one document, `sampled` at `sample` in even steps, `all` at every one. Integers widen to
     floats, anything mixed with text or booleans with numbers to text; nested values stay JSON.
     """
-    rows = docs.limit(1) if how == "first" else docs.limit(sample) if how == "sampled" else docs
+    rows = docs.limit(1) if how == "first" else spaced(docs, sample) if how == "sampled" else docs
     parsed = rows.select(F.try_parse_json("value").alias("v"), "value")
     if not parsed.filter("v is null").isEmpty():
         raise ParseError("not JSON")

@@ -264,6 +264,24 @@ def test_change_log(spark, tmp_path):
     e.execute("COMMIT")
     back = journal.ChangeLog(spark, str(tmp_path / "log")).recover()
     assert sorted(values(back["t"])) == [(20,), (30,)]
+    e.execute("CREATE TABLE u (k INTEGER)")
+    e.execute("INSERT INTO u VALUES (7)")
+    e.checkpoint()
+    reopened = journal.ChangeLog(spark, str(tmp_path / "log"))
+    reopened.append("t", "insert", back["t"].limit(1))
+    assert reopened.recover()["t"].count() == 3 and values(reopened.recover()["u"]) == [(7,)]
+    # rows written by a commit that never reached the manifest don't count
+    back["t"].write.parquet(str(tmp_path / "log/data/99999999-lost"))
+    reopened.commit([("u", "drop", None)])
+    assert {n: d.count() for n, d in journal.ChangeLog(spark, str(tmp_path / "log")).recover().items()} == {"t": 3}
+
+
+def test_spaced(spark):
+    docs = spark.range(0, 1000, 1, 7)
+    assert [r[0] for r in jsondocs.spaced(docs, 100).orderBy("id").collect()] == list(range(0, 1000, 10))
+    assert [jsondocs.spaced(docs, n).count() for n in (0, 1, 3, 999, 1000, 2000)] == [0, 1, 3, 999, 1000, 1000]
+    docs = jsondocs.documents(spark, "[" + ",".join(f'{{"id": {i}, "a": {i}{".5" if i == 150 else ""}}}' for i in range(200)) + "]")
+    assert jsondocs.infer(docs, "sampled") == [("id", "INTEGER", False), ("a", "FLOAT", False)]
 
 
 def test_streams(spark, tmp_path, small):
