@@ -269,8 +269,14 @@ class Engine:
                 self.table(c.references[0]).column(c.references[1])
         schema = T.StructType([T.StructField(c.name, tp.spark_type(c.type)) for c in metas])
         self.tables[name] = Table(tuple(metas), self.spark.createDataFrame([], schema))
+        self._define((name, "create", self.tables[name].data))
         return Result()
 
+    def _define(self, *changes) -> None:
+        """Logs a change of definitions."""
+        if self.log:
+            self.log.commit(list(changes))
+
     def _drop(self, text: str, names: dict, kind: str) -> Result:
         m = re.match(rf"(?is)DROP\s+{kind}\s+(IF\s+EXISTS\s+)?([\w.`\"]+)\s*$", text)
         name = m[2].strip('`"').split(".")[-1]
@@ -280,6 +286,8 @@ class Engine:
             raise TableNotFound(name)
         del names[name]
         self.spark.catalog.dropTempView(name)
+        if names is self.tables:
+            self._define((name, "drop", None))
         return Result()
 
     def _create_view(self, text: str) -> Result:
@@ -329,10 +337,12 @@ class Engine:
                 raise TableExists(a[1])
             self.tables[a[1]] = self.tables.pop(name)
             self.spark.catalog.dropTempView(name)
+            self._define((name, "drop", None), (a[1], "rename", self.tables[a[1]].data))
             return Result()
         else:
             raise Unsupported(what)
         self.tables[name] = replace(new, version=t.version + 1)
+        self._define((name, "alter", new.data))
         return Result()
 
     # writes

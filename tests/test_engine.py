@@ -276,6 +276,15 @@ def test_change_log(spark, tmp_path):
     assert {n: d.count() for n, d in journal.ChangeLog(spark, str(tmp_path / "log")).recover().items()} == {"t": 3}
 
 
+def test_definitions_are_logged(spark, tmp_path):
+    e = Engine(spark, journal.ChangeLog(spark, str(tmp_path / "log")))
+    for sql in ("CREATE TABLE a (k INTEGER)", "CREATE TABLE b (k INTEGER)", "CREATE TABLE c (k INTEGER)", "INSERT INTO a VALUES (1)", "ALTER TABLE a ADD COLUMN v INTEGER DEFAULT 5", "INSERT INTO a VALUES (2, 6)", "ALTER TABLE a RENAME TO d", "DROP TABLE b"):
+        e.execute(sql)
+    back = journal.ChangeLog(spark, str(tmp_path / "log")).recover()
+    assert sorted(back) == ["c", "d"]
+    assert sorted(values(back["d"])) == [(1, 5), (2, 6)] and back["c"].columns == ["k"] and back["c"].isEmpty()
+
+
 def test_spaced(spark):
     docs = spark.range(0, 1000, 1, 7)
     assert [r[0] for r in jsondocs.spaced(docs, 100).orderBy("id").collect()] == list(range(0, 1000, 10))
