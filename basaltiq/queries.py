@@ -484,6 +484,35 @@ def restore_conflict(spark, sf_dir):
     return spark.createDataFrame([(kind,)], "error string")
 
 
+def customer_batch(spark, sf_dir):
+    """Customers of version 1, without every fifth, and a batch that creates those and changes others."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", F.lit(1).cast("long").alias("version"), "c_name", "c_acctbal")
+    k = F.col("c_custkey")
+    op = F.when(k % 5 == 0, "create").when(k % 5 == 1, "update").when(k % 5 == 2, "patch").when(k % 5 == 3, "delete")
+    changes = c.select("c_custkey", op.alias("op"), F.when(k % 5 == 1, 1).cast("long").alias("expected"), F.lit(None).cast("string").alias("c_name"), F.lit(0.5).alias("c_acctbal"))
+    return c.filter(k % 5 > 0), changes.filter("op IS NOT NULL")
+
+
+@frame("SELECT c_custkey, CAST(CASE WHEN c_custkey % 5 IN (1, 2) THEN 2 ELSE 1 END AS BIGINT) AS version, CASE WHEN c_custkey % 5 IN (2, 4) THEN c_name END AS c_name, CASE WHEN c_custkey % 5 = 4 THEN c_acctbal ELSE 0.5 END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 3")
+def batch_writes(spark, sf_dir):
+    return entities.batched(*customer_batch(spark, sf_dir), "c_custkey")
+
+
+@frame("SELECT * FROM (VALUES ('exists', 'ConstraintViolation'), ('missing', 'ExecutionError'), ('twice', 'Conflict'), ('version', 'Conflict')) v(what, error)")
+def batch_conflicts(spark, sf_dir):
+    rows, changes = customer_batch(spark, sf_dir)
+    one = changes.filter("op = 'update'")
+    tries = {"exists": one.withColumn("op", F.lit("create")), "missing": changes.filter("op = 'create'").withColumn("op", F.lit("patch")), "twice": one.unionByName(one), "version": one.withColumn("expected", F.lit(9).cast("long"))}
+    out = []
+    for what, batch in tries.items():
+        try:
+            entities.batched(rows, batch, "c_custkey")
+            out.append((what, "none"))
+        except Exception as x:  # noqa: BLE001  its kind is the result
+            out.append((what, type(x).__name__))
+    return spark.createDataFrame(out, "what string, error string")
+
+
 @frame("SELECT c_custkey, c_acctbal * 2 AS balance, 'new' AS state FROM customer")
 def schema_migration(spark, sf_dir):
     steps = {1: lambda d: d.withColumnRenamed("c_acctbal", "balance"), 2: lambda d: d.withColumn("balance", F.col("balance") * 2).withColumn("state", F.lit("new"))}

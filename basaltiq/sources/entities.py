@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import Conflict, ExecutionError
+from ..errors import Conflict, ConstraintViolation, ExecutionError
 from .journal import latest
 
 #: fixed values: offset basis and prime of 64-bit FNV-1a, and the byte between type and id
@@ -139,6 +139,42 @@ def restored(existing: DataFrame, snapshot: DataFrame, key: str, conflict: str =
     return existing.unionByName(snapshot.join(existing, key, "left_anti"))
 
 
+def batched(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """table (key, version, fields) after a batch of changes (key, op, expected, the same fields), all of them or none.
+
+    create adds a row of version 1; update sets every field, patch those that
+    are not null, and both raise the version; delete removes the row. Raises
+    ConstraintViolation where a created key exists or a key is null, Conflict
+    where two changes meet on a key or expected isn't the version (null
+    expects nothing), ExecutionError where there is nothing to change or an op
+    is unknown. One join checks all of it, another writes.
+    """
+    fields = [c for c in table.columns if c not in (key, "version")]
+    twice = changes.groupBy(key).agg(F.count(F.lit(1)).alias("times"), F.first("op").alias("op"), F.first("expected").alias("expected"))
+    held_now = table.select(F.col(key).alias("_k"), F.col("version").alias("_v"))
+    met = twice.join(held_now, F.col(key) == F.col("_k"), "left")
+    create, there = F.col("op") == "create", F.col("_k").isNotNull()
+    faults = {
+        "op": ~F.coalesce(F.col("op").isin("create", "update", "patch", "delete"), F.lit(False)),
+        "key": F.col(key).isNull(), "twice": F.col("times") > 1, "unique": create & there, "missing": ~create & ~there,
+        "version": ~create & there & F.col("expected").isNotNull() & (F.col("expected") != F.col("_v")),
+    }
+    found = met.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in faults.items()]).first()
+    kinds = {"op": ExecutionError, "key": ConstraintViolation, "twice": Conflict, "unique": ConstraintViolation, "missing": ExecutionError, "version": Conflict}
+    for name, kind in kinds.items():
+        if found[name]:
+            raise kind(f"{name}: {found[name]} keys of the batch; none of it was applied")
+    new = changes.select(F.col(key).alias("_k"), F.col("op").alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    both = table.join(new, F.col(key) == F.col("_k"), "full").filter(~F.coalesce(F.col("_op") == "delete", F.lit(False)))
+
+    def value(c: str) -> Column:
+        return F.when(F.col("_op").isNull(), F.col(c)).when(F.col("_op") == "patch", F.coalesce(f"_new_{c}", c)).otherwise(F.col(f"_new_{c}")).alias(c)
+
+    version = F.when(F.col("_op").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1)
+    made = {key: F.coalesce(key, "_k").alias(key), "version": version.cast(table.schema["version"].dataType).alias("version")}
+    return both.select(*[made.get(c, value(c) if c in fields else None) for c in table.columns])
+
+
 def migrated(rows: DataFrame, version: int, steps: dict[int, Callable[[DataFrame], DataFrame]], to: int) -> DataFrame:
     """Rows of a schema version brought to another, by one step for each version in between."""
     for v in range(version, to):

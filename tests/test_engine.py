@@ -276,6 +276,17 @@ def test_change_log(spark, tmp_path):
     assert {n: d.count() for n, d in journal.ChangeLog(spark, str(tmp_path / "log")).recover().items()} == {"t": 3}
 
 
+def test_batch(spark):
+    table = spark.createDataFrame([(1, 3, "a"), (2, 1, "b")], "id long, version long, v string")
+    shape = "id long, op string, expected long, v string"
+    batch = lambda *rows: entities.batched(table, spark.createDataFrame(rows, shape), "id")
+    assert sorted(values(batch((1, "patch", 3, None), (3, "create", None, "c"), (2, "delete", None, None)))) == [(1, 4, "a"), (3, 1, "c")]
+    assert sorted(values(batch())) == sorted(values(table))
+    for rows, kind in (([(None, "create", None, "x")], E.ConstraintViolation), ([(3, "grow", None, "x")], E.ExecutionError), ([(3, "create", None, "x"), (3, "create", None, "x")], E.Conflict), ([(4, "delete", None, None), (1, "update", 3, "z")], E.ExecutionError)):
+        with pytest.raises(kind):
+            batch(*rows)
+
+
 def test_definitions_are_logged(spark, tmp_path):
     e = Engine(spark, journal.ChangeLog(spark, str(tmp_path / "log")))
     for sql in ("CREATE TABLE a (k INTEGER)", "CREATE TABLE b (k INTEGER)", "CREATE TABLE c (k INTEGER)", "INSERT INTO a VALUES (1)", "ALTER TABLE a ADD COLUMN v INTEGER DEFAULT 5", "INSERT INTO a VALUES (2, 6)", "ALTER TABLE a RENAME TO d", "DROP TABLE b"):
