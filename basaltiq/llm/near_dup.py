@@ -72,7 +72,7 @@ def labelled(words: list[str], hashes: WordHash, k: int) -> np.ndarray:
         first = np.maximum.accumulate(np.where(run, np.arange(n), 0))
         times = np.empty(n, np.uint64)
         times[order] = (np.arange(n) - first).astype(np.uint64)
-        g = mix(g + times * M2)
+        g = np.where(times > 0, mix(g + times * M2), g)  # first occurrences keep their hash, whether or not a text has repeats
     return g
 
 

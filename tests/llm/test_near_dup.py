@@ -53,6 +53,12 @@ def data():
     return rows, groups
 
 
+def test_repeats_label_only_later_occurrences():
+    words = [f"w{i}" for i in range(300)]
+    one, two = (N.labelled(w, N.WordHash(), 5) for w in (words, words + words[:20]))
+    assert two[: len(one)].tolist() == one.tolist() and len(set(two.tolist())) == len(two)
+
+
 def test_classes(documents):
     rows, groups = data()
     extra = [(900, None), (901, None), (902, ""), (903, ""), (904, "one two"), (905, "One, two!"), (906, "!!!"), (907, rows[0][1]), (907, rows[0][1]), (None, rows[0][1])]
