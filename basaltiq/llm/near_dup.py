@@ -62,18 +62,19 @@ def labelled(words: list[str], hashes: WordHash, k: int) -> np.ndarray:
         return w
     n = max(1, len(w) - k + 1)
     g = np.zeros(n, np.uint64)
-    for j in range(min(k, len(w))):
-        g = mix(g * M1 + w[j : j + n] + np.uint64(j))
+    for j in range(min(k, len(w))):  # a polynomial of the words' hashes, which are mixed already
+        g = g * M1 + w[j : j + n]
+    g = mix(g)
+    s = np.sort(g)
+    if not (s[1:] == s[:-1]).any():
+        return g
     order = np.argsort(g, kind="stable")
     s = g[order]
-    same = s[1:] == s[:-1]
-    if same.any():
-        run = np.concatenate(([True], ~same))
-        first = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-        times = np.empty(n, np.uint64)
-        times[order] = (np.arange(n) - first).astype(np.uint64)
-        g = np.where(times > 0, mix(g + times * M2), g)  # first occurrences keep their hash, whether or not a text has repeats
-    return g
+    run = np.concatenate(([True], s[1:] != s[:-1]))
+    first = np.maximum.accumulate(np.where(run, np.arange(n), 0))
+    times = np.empty(n, np.uint64)
+    times[order] = (np.arange(n) - first).astype(np.uint64)
+    return np.where(times > 0, mix(g + times * M2), g)  # first occurrences keep their hash, whether or not a text has repeats
 
 
 def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:  # noqa: E741
@@ -87,11 +88,15 @@ def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:
                 key = mix(key * M1 + mix(x ^ seeds))
         else:
             best_v = best_p = None
+            odd, row = (seeds | np.uint64(1))[:, None], np.arange(len(seeds))
             for at in range(0, len(g), 1 << 16):  # bounded memory for very long texts
-                v = mix(g[None, at : at + (1 << 16)] ^ seeds[:, None])
-                m = min(l, v.shape[1])
-                p = np.argpartition(v, m - 1, axis=1)[:, :m]
-                v, p = np.take_along_axis(v, p, 1), p + at
+                part = g[None, at : at + (1 << 16)] * odd  # an odd multiplier permutes the hashes
+                m = min(l, part.shape[1])
+                v, p = np.empty((len(seeds), m), np.uint64), np.empty((len(seeds), m), np.int64)
+                for j in range(m):
+                    low = part.argmin(axis=1)
+                    v[:, j], p[:, j] = part[row, low], low + at
+                    part[row, low] = np.uint64(0xFFFFFFFFFFFFFFFF)
                 if best_v is not None:
                     v, p = np.hstack([best_v, v]), np.hstack([best_p, p])
                     top = np.argpartition(v, l - 1, axis=1)[:, :l]
@@ -234,7 +239,7 @@ def stars(buckets: DataFrame, leader) -> DataFrame:
     return buckets.join(lead, "key").filter("id != a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 10, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 16, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
     """key, class_id (the least key of its class) and n_links (verified links of its text to other texts) of each row."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
     first = held(sketch(rows, k, sketches, l))
