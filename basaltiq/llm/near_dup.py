@@ -6,9 +6,10 @@ occurrence number, so repeats count. For each of `sketches` hash functions the
 text: a key that is sensitive to edits and not just to the set of k-mers.
 Texts that share a key are candidates. A bucket of candidates is a star, each
 member against one leader, so links grow with the rows of a bucket and not
-with their square: first the least id of a bucket leads; then, in the finer
-buckets of two keys together, a hashed leader, for members that are not yet in
-one class. Candidates are verified by word-level edit distance in a diagonal
+with their square: the least id of a bucket leads, and in the finer buckets of
+two keys together a hashed leader. Each text is first held against the leader
+with which it shares the most keys; the other candidates are verified only if
+the classes of those links don't join them already. Candidates are verified by word-level edit distance in a diagonal
 band: linked if 1 - distance / length of the longer text is at least 0.8.
 Classes are the components of the links, by min-label propagation with pointer
 jumping over distributed tables.
@@ -239,8 +240,8 @@ def stars(buckets: DataFrame, leader) -> DataFrame:
     return buckets.join(lead, "key").filter("id != a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 16, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
-    """key, class_id (the least key of its class) and n_links (verified links of its text to other texts) of each row."""
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+    """key, class_id (the least key of its class) and n_links (links of its text to other texts that were verified) of each row."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
     first = held(sketch(rows, k, sketches, l))
     reps = cut(first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -249,17 +250,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5
     near = F.col("short") >= F.col("long") * least - 1e-9
 
     each = slim.select("id", "n", F.posexplode("keys").alias("p", "x")).select("id", "n", F.xxhash64("p", "x").alias("key"))
-    one = cut(stars(each, F.min(F.struct("id", "n"))).filter(near).select("a", "b").distinct())
-    links = cut(verified(one, texts, least))
+    one = cut(stars(each, F.min(F.struct("id", "n"))).filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys")))
+    # each member against the leader with which it shares the most keys; its other leaders only if they are of other classes
+    best = cut(one.groupBy("b").agg(F.min_by("a", F.struct(-F.col("keys"), "a")).alias("a")).select("a", "b"))
+    links = cut(verified(best, texts, least))
     label = components(links)
 
     pairs = F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda p: F.struct(F.xxhash64(p, F.get("keys", p), F.get("keys", (p + 1) % sketches)).alias("x"), F.xxhash64(p, F.lit(1), F.get("keys", p), F.get("keys", (p + 2) % sketches)).alias("y")))
     fine = slim.select("id", "n", F.explode(pairs).alias("q")).select("id", "n", F.explode(F.array("q.x", "q.y")).alias("key"))
-    led = stars(fine, F.min_by(F.struct("id", "n"), F.xxhash64("key", "id"))).filter(near).select("a", "b").distinct()
+    led = stars(fine, F.min_by(F.struct("id", "n"), F.xxhash64("key", "id"))).filter(near).select("a", "b").union(one.select("a", "b")).distinct()
     for end in ("a", "b"):
         named = label.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
         led = led.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    two = cut(led.filter("ca != cb").select("a", "b").join(one, ["a", "b"], "left_anti"))
+    two = cut(led.filter("ca != cb").select("a", "b").join(best, ["a", "b"], "left_anti"))
     more = verified(two, texts, least)
     links = cut(links.union(more))
     label = components(links)
