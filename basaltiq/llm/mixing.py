@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 10
@@ -117,15 +117,22 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return some.unionByName(none)
 
 
-def remix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it whole, to the nearest number; its columns unchanged."""
+def remix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: int = 0, **how) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it; its columns unchanged.
+
+    The part of a text that is taken beyond whole copies is the probability of
+    one more copy, drawn by a hash of the row, so a source's words are its
+    target's in the mean, however long its texts are.
+    """
     import uuid
 
     u, k = f"_{uuid.uuid4().hex[:8]}", "_copies"
-    taken = mix(docs, text, key, source, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("n") / F.col("size"))).otherwise(0).cast("int")
-    taken = taken.select(F.col("doc_id").alias(f"{u}i"), F.col("source").alias(f"{u}s"), F.col("size").alias(f"{u}z"), copies.alias(k)).filter(F.col(k) > 0)
+    taken = mix(docs, text, key, source, seed=seed, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).filter("taken > 0")
+    times = F.col("taken") / F.col("n") / F.col("size")
+    taken = taken.select(F.col("doc_id").alias(f"{u}i"), F.col("source").alias(f"{u}s"), F.col("size").alias(f"{u}z"), times.alias(f"{u}t"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn(f"{u}n", size)
+    sized = docs.withColumn(f"{u}n", size).withColumn(f"{u}u", unit_hash(key, source, text, F.lit("copies"), seed=seed))
     both = sized.join(taken, sized[key].eqNullSafe(F.col(f"{u}i")) & sized[source].eqNullSafe(F.col(f"{u}s")) & (F.col(f"{u}n") == F.col(f"{u}z")))
+    whole = F.floor(f"{u}t")
+    both = both.withColumn(k, (whole + (F.col(f"{u}u") < F.col(f"{u}t") - whole).cast("long")).cast("int")).filter(F.col(k) > 0)
     return both.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*[both[c] for c in docs.columns])

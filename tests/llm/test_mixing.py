@@ -82,6 +82,19 @@ def test_remix(documents):
     assert max(r["count"] for r in out.filter("doc_id != 5").groupBy("doc_id").count().collect()) <= 3
 
 
+def test_remix_meets_targets_with_long_texts(documents):
+    data = [(i, "word " * (640 + i % 7 * 100), "en", "abc"[i % 3]) for i in range(2400)]
+    sizes, out = defaultdict(int), defaultdict(int)
+    for _, t, _, s in data:
+        sizes[s] += word_count(t)
+    for r in M.remix(documents(data)).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r.source] += r.n * word_count(data[r.doc_id][1])
+    want = fill(sizes)
+    assert min(want[s] / sizes[s] for s in sizes) < 0.4
+    for s in sizes:
+        assert abs(out[s] / want[s] - 1) < 0.1, (s, out[s], want[s])
+
+
 def test_empty(documents):
     assert M.mix(documents([])).count() == 0
     got = M.mix(documents([(1, None), (2, " ")])).collect()
