@@ -8,9 +8,9 @@ alphabet, chi-squared over character classes, the runs test about the middle
 of the alphabet, and lag-1 serial correlation of the codes; the least p-value
 times the number of tests holds. Runs for which that hypothesis is rejected
 are ordinary text. Rejection is by Benjamini-Hochberg over all runs of all
-documents, each p-value divided by a weight in proportion to its length, as
-longer runs bear more evidence; what survives is random. The threshold comes
-from a histogram of the p-values, whose size doesn't depend on the data.
+documents, each p-value divided by a weight of mean 1 in inverse proportion to
+its length: a truly random run is dismissed no more often if it is long, and
+text that is long has evidence to spare; what survives is random. The threshold comes from a histogram of the p-values, whose size doesn't depend on the data.
 
 Cases: null text is empty and has no spans; positions are code points, end
 exclusive. Base spans of one kind do not overlap; matches that fail their
@@ -92,7 +92,8 @@ def tested(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_chars", F.filter(F.split("_bare", ""), lambda c: c != "")).withColumn("_table", table)
     rows = rows.withColumn("codes", F.expr("transform(_chars, c -> cast(instr(_table, c) - 1 as double))"))
     n, a = F.size("codes").cast("double"), F.col("a").cast("double")
-    rows = rows.filter(F.size("codes") >= 2)
+    # on the run itself: a condition on codes is pushed below with their whole expression in it, which then runs the regular expressions once for each character
+    rows = rows.filter(F.length("_bare") >= 2)
     squares = F.expr("aggregate(array_distinct(codes), 0D, (s, c) -> s + pow(size(filter(codes, x -> x = c)), 2))")
     chi = squares * a / n - n
     # character classes of the encoding: letters and digits, and for base64 both cases and the two signs
@@ -103,16 +104,19 @@ def tested(rows: DataFrame) -> DataFrame:
     high = F.expr("size(filter(codes, x -> x >= a / 2))").cast("double")
     runs = F.expr("1D + size(filter(sequence(1, size(codes) - 1), i -> (codes[i] >= a / 2) != (codes[i - 1] >= a / 2)))")
     mean = F.expr("aggregate(codes, 0D, (s, x) -> s + x) / size(codes)")
-    rows = rows.withColumn("_mean", mean).withColumn("_high", high)
+    # each statistic is a column of its own: the tails name it many times, and it is a pass over the run
+    rows = rows.withColumn("_mean", mean).withColumn("_high", high).withColumn("_chi", chi).withColumn("_classes", classes).withColumn("_runs", runs)
     low = n - F.col("_high")
     want = 2 * F.col("_high") * low / n + 1
     spread = (want - 1) * (want - 2) / (n - 1)
-    p_runs = F.when((F.col("_high") == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).when(spread > 0, tail((runs - want) / F.sqrt(spread))).otherwise(1.0)
+    p_runs = F.when((F.col("_high") == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).when(spread > 0, tail((F.col("_runs") - want) / F.sqrt(spread))).otherwise(1.0)
     lag = F.expr("aggregate(sequence(1, size(codes) - 1), 0D, (s, i) -> s + (codes[i] - _mean) * (codes[i - 1] - _mean))")
     own = F.expr("aggregate(codes, 0D, (s, x) -> s + pow(x - _mean, 2))")
+    rows = rows.withColumn("_lag", lag).withColumn("_own", own)
+    lag, own = F.col("_lag"), F.col("_own")
     p_serial = F.when(own > 0, tail(lag / own * F.sqrt(n) + 1 / F.sqrt(n))).otherwise(F.pow(F.lit(2.0), 1 - n))
-    tests = [chi_tail(chi, a - 1), chi_tail(classes, F.size("_share").cast("double") - 1), p_runs, p_serial]
-    return rows.withColumn("n", F.size("codes")).withColumn("p", F.least(F.lit(1.0), F.least(*tests) * len(tests))).drop("_bare", "_chars", "_table", "codes", "_share", "_bounds", "_mean", "_high")
+    tests = [chi_tail(F.col("_chi"), a - 1), chi_tail(F.col("_classes"), F.size("_share").cast("double") - 1), p_runs, p_serial]
+    return rows.withColumn("n", F.size("codes")).withColumn("p", F.least(F.lit(1.0), F.least(*tests) * len(tests))).drop("_bare", "_chars", "_table", "codes", "_share", "_bounds", "_mean", "_high", "_chi", "_classes", "_runs", "_lag", "_own")
 
 
 def random_runs(runs: DataFrame, level: float = 0.01, steps: int = 20, bins: int = 6000) -> DataFrame:
@@ -120,10 +124,10 @@ def random_runs(runs: DataFrame, level: float = 0.01, steps: int = 20, bins: int
 
     The p-values over their weights fall into `bins` bins, `steps` to a factor of ten; the bound is the upper end of the last bin for which Benjamini-Hochberg holds.
     """
-    rows = tested(runs)
-    whole = rows.agg(F.avg("n").alias("mean_n"), F.count(F.lit(1)).alias("m"))
+    rows = held(tested(runs))
+    whole = rows.agg(F.avg(1 / F.col("n")).alias("mean_w"), F.count(F.lit(1)).alias("m"))
     rows = rows.crossJoin(F.broadcast(whole))  # one row
-    q = F.col("p") / (F.col("n") / F.col("mean_n"))
+    q = F.col("p") / (1 / F.col("n") / F.col("mean_w"))
     rows = rows.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins), F.floor(bins + steps * F.log10(F.least(F.lit(1.0), q))))).cast("int"))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).withColumn("k", F.sum("k").over(upto))

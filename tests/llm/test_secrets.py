@@ -49,6 +49,18 @@ def test_random_runs(documents):
         assert [(s.start, s.kind, s.end) for s in spans[i] if s.kind < 3] == base(t)
 
 
+def test_long_random_runs_are_found_among_words(documents):
+    rng = random.Random(11)
+    words = [("".join(rng.choice(["ein", "heit", "lich", "ung", "keit", "der", "ver", "gang"]) for _ in range(9)))[: rng.randint(20, 23)] for _ in range(1500)]
+    long = ["".join(rng.choices(S.ALPHABETS[64], k=n)) for n in (400, 1000, 3200, 10_000) for _ in range(4)]
+    rows = [*enumerate(words + long), (-1, "ein" * 1000)]
+    spans = {r.doc_id: r.spans for r in S.scan(documents(rows)).collect()}
+    for at in range(0, len(long), 4):
+        assert sum(any(s.kind == 3 for s in spans[len(words) + at + i]) for i in range(4)) == 4, len(long[at])
+    assert not any(s.kind == 3 for s in spans[-1])
+    assert sum(any(s.kind == 3 for s in spans[i]) for i in range(len(words))) < 0.01 * len(words)
+
+
 def test_redact(documents):
     rows = [*enumerate(texts()), (3, texts()[3])]
     docs = documents(rows)
