@@ -1,16 +1,17 @@
-"""Near-duplicates by Order MinHash, verified by banded alignment.
+"""Near-duplicates by Order MinHash, verified by bounded alignment.
 
 A text's k-mers are its windows of `k` (5) words; each is labelled with its
 occurrence number, so repeats count. For each of `sketches` hash functions the
 `l` least labelled k-mers are kept in the order in which they stand in the
-text: a key that is sensitive to edits and not just to the set of k-mers.
+text: a key that is sensitive to edits and not just to the set of k-mers. The
+least of them alone is a second key, which finds links near the bound.
 Texts that share a key are candidates. A bucket of candidates is a star, each
 member against one leader, so links grow with the rows of a bucket and not
 with their square: the least id of a bucket leads, and in the finer buckets of
 two keys together a hashed leader. Each text is first held against the leader
 with which it shares the most keys; the other candidates are verified only if
-the classes of those links don't join them already. Candidates are verified by word-level edit distance in a diagonal
-band: linked if 1 - distance / length of the longer text is at least 0.8.
+the classes of those links don't join them already. Candidates are verified by word-level edit distance
+up to a bound: linked if 1 - distance / length of the longer text is at least 0.8.
 Classes are the components of the links, by min-label propagation with pointer
 jumping over distributed tables.
 
@@ -79,7 +80,7 @@ def labelled(words: list[str], hashes: WordHash, k: int) -> np.ndarray:
 
 
 def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:  # noqa: E741
-    """One key for each seed: the l least k-mers under it, in text order."""
+    """Two keys for each seed: the l least k-mers under it, in text order, and after all of these the least k-mer alone."""
     if len(g) == 0:
         return []
     with np.errstate(over="ignore"):
@@ -87,6 +88,7 @@ def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:
             key = np.zeros(len(seeds), np.uint64)
             for x in g:
                 key = mix(key * M1 + mix(x ^ seeds))
+            least = (g[None, :] * (seeds | np.uint64(1))[:, None]).min(axis=1)
         else:
             best_v = best_p = None
             odd, row = (seeds | np.uint64(1))[:, None], np.arange(len(seeds))
@@ -103,12 +105,13 @@ def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:
                     top = np.argpartition(v, l - 1, axis=1)[:, :l]
                     v, p = np.take_along_axis(v, top, 1), np.take_along_axis(p, top, 1)
                 best_v, best_p = v, p
+            least = best_v.min(axis=1)
             inside = np.argsort(best_p, axis=1)
             v = np.take_along_axis(best_v, inside, 1)
             key = np.zeros(len(seeds), np.uint64)
             for j in range(v.shape[1]):
                 key = mix(key * M1 + v[:, j])
-        return mix(key ^ seeds).view(np.int64).tolist()
+        return np.concatenate((mix(key ^ seeds), mix(mix(least) ^ seeds))).view(np.int64).tolist()
 
 
 def sketch(docs: DataFrame, k: int, sketches: int, l: int) -> DataFrame:  # noqa: E741
@@ -129,11 +132,10 @@ def sketch(docs: DataFrame, k: int, sketches: int, l: int) -> DataFrame:  # noqa
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences if it is at most `most`, else most + 1; only diagonals within `most` are visited.
+    """Edit distance of two sequences if it is at most `most`, else most + 1.
 
-    For e = 0, 1, ... each diagonal keeps the farthest place reached with e
-    edits; equal stretches are slid over at once, by the next mismatch on the
-    diagonal, found once for each diagonal used.
+    Equal ends are cut off; the rest goes by columns of bits (Myers, Hyyro),
+    until the distance can't come down to `most` any more.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
@@ -147,33 +149,26 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         a, b, n, m = a[: n - s], b[: m - s], n - s, m - s
     if n == 0 or m == 0:
         return max(n, m)
-    misses: dict[int, np.ndarray] = {}
-
-    def slide(d: int, i: int) -> int:
-        """From a[i], b[i + d], the first place in a with a mismatch or an end."""
-        if d not in misses:
-            lo, hi = max(0, -d), min(n, m - d)
-            gap = np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]) + lo if hi > lo else np.zeros(0, np.int64)
-            misses[d] = np.append(gap, hi if hi > lo else lo)
-        x = misses[d]
-        return int(x[min(np.searchsorted(x, i), len(x) - 1)]) if i < min(n, m - d) else i
-
-    goal = m - n
-    far = {0: slide(0, 0)}
-    if goal == 0 and far[0] >= n:
-        return 0
-    for e in range(1, most + 1):
-        new = {}
-        for d in range(max(-e, -n, goal - (most - e)), min(e, m, goal + (most - e)) + 1):
-            i = max(far.get(d, -9) + 1, far.get(d - 1, -9), far.get(d + 1, -9) + 1)
-            i = min(i, n, m - d)
-            if i < max(0, -d):
-                continue
-            new[d] = slide(d, i)
-        if new.get(goal, -1) >= n:
-            return e
-        far = new
-    return most + 1
+    # bit-parallel: column j of the table as vertical differences, one bit for each word of a
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    mask, top, d = (1 << n) - 1, 1 << (n - 1), n
+    up, down = mask, 0
+    for j, y in enumerate(b.tolist()):
+        eq = at.get(y, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | (mask & ~(xh | up)), up & xh
+        if ph & top:
+            d += 1
+        elif mh & top:
+            d -= 1
+        if d - (m - 1 - j) > most:  # each word left takes off one at most
+            return most + 1
+        ph = ph << 1 | 1
+        up, down = (mh << 1 | ~(xv | ph)) & mask, ph & xv & mask
+    return min(d, most + 1)
 
 
 def similarity(a: list[str], b: list[str], least: float, hashes: WordHash) -> float:

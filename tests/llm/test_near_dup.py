@@ -59,6 +59,24 @@ def test_repeats_label_only_later_occurrences():
     assert two[: len(one)].tolist() == one.tolist() and len(set(two.tolist())) == len(two)
 
 
+def test_keys_find_pairs_near_the_bound():
+    rng, hashes = random.Random(3), N.WordHash()
+    seeds = N.mix(np.arange(1, 13, dtype=np.uint64) * N.M2)
+    found = {}
+    for off in (50, 38, 25):
+        found[off] = 0
+        for _ in range(300):
+            one = [f"w{rng.randint(0, 10**9)}" for _ in range(250)]
+            two = one.copy()
+            for i in rng.sample(range(250), off):
+                two[i] = f"v{rng.randint(0, 10**9)}"
+            assert abs(N.similarity(one, two, 0.8, hashes) - (1 - off / 250)) < 1e-9
+            x, y = (N.order_min_hash(N.labelled(w, hashes, 5), seeds) for w in (one, two))
+            found[off] += any(p == q for p, q in zip(x, y)) / 300
+    print("share of pairs with a common key, by words replaced of 250:", found)
+    assert found[50] >= 0.85 and found[38] >= 0.95 and found[25] >= 0.98
+
+
 def test_classes(documents):
     rows, groups = data()
     extra = [(900, None), (901, None), (902, ""), (903, ""), (904, "one two"), (905, "One, two!"), (906, "!!!"), (907, rows[0][1]), (907, rows[0][1]), (None, rows[0][1])]
