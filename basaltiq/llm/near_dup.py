@@ -4,22 +4,28 @@ A text's k-mers are its windows of `k` (5) words; each is labelled with its
 occurrence number, so repeats count. For each of `sketches` hash functions the
 `l` least labelled k-mers are kept in the order in which they stand in the
 text: a key that is sensitive to edits and not just to the set of k-mers. The
-least of them alone is a second key, which finds links near the bound.
+least k-mer alone is a second key, of these `sketches` functions and `singles`
+more, which finds links near the bound.
 Texts that share a key are candidates. A bucket of candidates is a star, each
 member against one leader, so links grow with the rows of a bucket and not
-with their square: the least id of a bucket leads, and in the finer buckets of
+with their square: the least text of a bucket leads, and in the finer buckets of
 two keys together a hashed leader. Each text is first held against the leader
 with which it shares the most keys; the other candidates are verified only if
 the classes of those links don't join them already. Candidates are verified by word-level edit distance
 up to a bound: linked if 1 - distance / length of the longer text is at least 0.8.
 Classes are the components of the links, by min-label propagation with pointer
-jumping over distributed tables.
+jumping over distributed tables; joins on a vertex with many links are salted.
+
+What is linked is a distinct text, not an id: each has a vertex number, its
+least id, or a hash where several texts have that id in common. A leader's text is shipped once for every CHUNK of its members.
 
 Cases: equal texts are one class before any sketch; null texts link to
 nothing, each is its own class; empty texts are equal texts. Texts of fewer
-than k words have one k-mer, all their words. Words are runs of word
-characters in lower case. Rows with null key have class null. Ties go to the
-smaller id. An empty table gives no rows.
+than k words have one k-mer, all their words; texts of any length are taken whole,
+their k-mers in blocks. Words are runs of word
+characters in lower case. Rows with null key have class null. An id with
+several texts has a row of its own, and a class, for each of them. Ties go to the
+smaller id. Columns other than text and key are never read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +43,8 @@ from .common import cut, held
 WORD = re.compile(r"\w+")
 #: fixed values: odd multipliers
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-BROADCAST_ROWS = 400_000  # of 8 bytes each
+BROADCAST_ROWS = 400_000  # of 24 bytes each
+CHUNK = 256
 
 
 def mix(x):
@@ -79,44 +86,45 @@ def labelled(words: list[str], hashes: WordHash, k: int) -> np.ndarray:
     return np.where(times > 0, mix(g + times * M2), g)  # first occurrences keep their hash, whether or not a text has repeats
 
 
-def order_min_hash(g: np.ndarray, seeds: np.ndarray, l: int = 2) -> list[int]:  # noqa: E741
-    """Two keys for each seed: the l least k-mers under it, in text order, and after all of these the least k-mer alone."""
+def seeds_of(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * M2)
+
+
+def order_min_hash(g: np.ndarray, seeds: np.ndarray, ordered: int, l: int = 2) -> list[int]:  # noqa: E741
+    """The least k-mer under each seed, and after these, for the first `ordered` seeds, the l least k-mers in text order."""
     if len(g) == 0:
         return []
     with np.errstate(over="ignore"):
-        if len(g) <= l:
-            key = np.zeros(len(seeds), np.uint64)
-            for x in g:
-                key = mix(key * M1 + mix(x ^ seeds))
-            least = (g[None, :] * (seeds | np.uint64(1))[:, None]).min(axis=1)
-        else:
-            best_v = best_p = None
-            odd, row = (seeds | np.uint64(1))[:, None], np.arange(len(seeds))
-            for at in range(0, len(g), 1 << 16):  # bounded memory for very long texts
-                part = g[None, at : at + (1 << 16)] * odd  # an odd multiplier permutes the hashes
-                m = min(l, part.shape[1])
-                v, p = np.empty((len(seeds), m), np.uint64), np.empty((len(seeds), m), np.int64)
-                for j in range(m):
-                    low = part.argmin(axis=1)
-                    v[:, j], p[:, j] = part[row, low], low + at
+        best, best_v, best_p = None, None, None
+        odd, row = (seeds | np.uint64(1))[:, None], np.arange(ordered)
+        for at in range(0, len(g), 1 << 16):  # bounded memory for very long texts
+            part = g[None, at : at + (1 << 16)] * odd  # an odd multiplier permutes the hashes
+            low = part.argmin(axis=1)
+            least = part[np.arange(len(seeds)), low]
+            best = least if best is None else np.minimum(best, least)
+            m = min(l, part.shape[1])
+            v, p = np.empty((ordered, m), np.uint64), np.empty((ordered, m), np.int64)
+            part, low = part[:ordered], low[:ordered]
+            for j in range(m):
+                v[:, j], p[:, j] = part[row, low], low + at
+                if j + 1 < m:
                     part[row, low] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                if best_v is not None:
-                    v, p = np.hstack([best_v, v]), np.hstack([best_p, p])
-                    top = np.argpartition(v, l - 1, axis=1)[:, :l]
-                    v, p = np.take_along_axis(v, top, 1), np.take_along_axis(p, top, 1)
-                best_v, best_p = v, p
-            least = best_v.min(axis=1)
-            inside = np.argsort(best_p, axis=1)
-            v = np.take_along_axis(best_v, inside, 1)
-            key = np.zeros(len(seeds), np.uint64)
-            for j in range(v.shape[1]):
-                key = mix(key * M1 + v[:, j])
-        return np.concatenate((mix(key ^ seeds), mix(mix(least) ^ seeds))).view(np.int64).tolist()
-
-
-def sketch(docs: DataFrame, k: int, sketches: int, l: int) -> DataFrame:  # noqa: E741
-    """id, n (words) and keys of each row of docs (id, t)."""
-    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * M2)
+                    low = part.argmin(axis=1)
+            if best_v is not None:
+                v, p = np.hstack([best_v, v]), np.hstack([best_p, p])
+                top = np.argsort(v, axis=1, kind="stable")[:, :l]
+                v, p = np.take_along_axis(v, top, 1), np.take_along_axis(p, top, 1)
+            best_v, best_p = v, p
+        v = np.take_along_axis(best_v, np.argsort(best_p, axis=1), 1)
+        key = np.zeros(ordered, np.uint64)
+        for j in range(v.shape[1]):
+            key = mix(key * M1 + v[:, j])
+        return np.concatenate((mix(mix(best) ^ seeds), mix(key ^ seeds[:ordered]))).view(np.int64).tolist()
+
+
+def sketch(docs: DataFrame, k: int, sketches: int, singles: int, l: int) -> DataFrame:  # noqa: E741
+    """id, th, n (words) and keys of each row of docs (id, t, th)."""
+    seeds = seeds_of(sketches + singles)
 
     def run(batches):
         hashes = WordHash()
@@ -125,7 +133,7 @@ def sketch(docs: DataFrame, k: int, sketches: int, l: int) -> DataFrame:  # noqa
             for t in batch.column(1).to_pylist():
                 words = WORD.findall(t.lower()) if t else []
                 n.append(len(words))
-                keys.append(order_min_hash(labelled(words, hashes, k), seeds, l))
+                keys.append(order_min_hash(labelled(words, hashes, k), seeds, sketches, l))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "n", "keys"])
 
     return docs.select("id", "t", "th").mapInArrow(run, "id long, th binary, n long, keys array<long>")
@@ -171,14 +179,19 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(d, most + 1)
 
 
-def similarity(a: list[str], b: list[str], least: float, hashes: WordHash) -> float:
-    """Edit similarity of two word lists, 0 if it is below `least`."""
-    if not a or not b:
-        return float(a == b)
-    x = np.fromiter(map(hashes.__getitem__, a), np.uint64, len(a))
-    y = np.fromiter(map(hashes.__getitem__, b), np.uint64, len(b))
+def hashed(text: str, hashes: WordHash) -> np.ndarray:
+    words = WORD.findall(text.lower())
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
+    """Edit similarity of two arrays of hashed words, 0 if it is below `least`."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
     longer = max(len(x), len(y))
     most = int((1 - least) * longer + 1e-9)
+    if abs(len(x) - len(y)) > most:
+        return 0.0
     # words of one that the other lacks bound the distance from below
     u, at = np.unique(np.concatenate((x, y)), return_inverse=True)
     bag = np.bincount(at[: len(x)], minlength=len(u)) - np.bincount(at[len(x) :], minlength=len(u))
@@ -188,31 +201,41 @@ def similarity(a: list[str], b: list[str], least: float, hashes: WordHash) -> fl
     return 1 - d / longer if d <= most else 0.0
 
 
+def salted(left: DataFrame, right: DataFrame, on: str, to: str, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right (unique `to`) on left.on = right.to; values of `on` with more than CHUNK rows are dealt to salts by a hash of `by`."""
+    hot = left.groupBy(F.col(on).alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_salts")).filter("_salts > 1")
+    left = left.join(hot, left[on] == hot["_hot"], "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_hot", "_salts")
+    right = right.join(hot, right[to] == hot["_hot"], "left").withColumn("_z", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_hot", "_salts")
+    return left.join(right, (left[on] == right[to]) & (F.col("_s") == F.col("_z")), how).drop("_s", "_z")
+
+
 def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar. Only texts of candidates are moved."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)  # of checked size
-    need = held(texts.join(ids, texts["id"] == ids["v"], "left_semi").select("id", "t"))
-    one, two = need.select(F.col("id").alias("a"), F.col("t").alias("ta")), need.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    both = edges.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    """The edges (a, b), a the leader, whose texts are similar; texts (u, id, th, t) with one row for each vertex u.
+
+    A chunk is a leader's text and, after it, up to about CHUNK members, so that a hot leader is many tasks' work.
+    """
+    hot = edges.groupBy(F.col("a").alias("hot")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).filter("chunks > 1")
+    member = edges.join(hot, F.col("a") == F.col("hot"), "left").select(F.col("b").alias("v"), F.col("a").alias("lead"), F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"), F.lit(0)).alias("chunk"), F.lit(1).alias("kind"))
+    member = cut(member)
+    roles = member.unionByName(member.select("lead", "chunk").distinct().select(F.col("lead").alias("v"), "lead", "chunk", F.lit(0).alias("kind")))
+    if 2 * member.count() <= BROADCAST_ROWS:
+        roles = F.broadcast(roles)  # of checked size
+    parted = texts.select("u", "t").join(roles, F.col("u") == F.col("v")).select("lead", "chunk", "kind", "v", "t")
 
     def run(batches):
         hashes = WordHash()
-        kept: dict[str, list[str]] = {}
+        at = first = None
         for batch in batches:
-            out = []
-            for i, (s, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if len(kept) > 200:
-                    kept.clear()
-                if s not in kept:
-                    kept[s] = WORD.findall(s.lower())
-                if similarity(kept[s], WORD.findall(t.lower()), least, hashes) >= least:
-                    out.append(i)
-            at = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            out_a, out_b = [], []
+            for lead, chunk, kind, v, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if kind == 0:
+                    at, first = (lead, chunk), hashed(t, hashes)
+                elif at == (lead, chunk) and similarity(first, hashed(t, hashes), least) >= least:
+                    out_a.append(lead)
+                    out_b.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return parted.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "kind").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,61 +243,96 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")))
     while True:
-        near = both.join(label, both["b"] == label["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
-        step = label.join(near, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = salted(both, label, "b", "v", "a").groupBy("a").agg(F.min("c").alias("m"))
+        step = cut(label.join(near, F.col("v") == F.col("a"), "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")))
         up = step.select(F.col("v").alias("u"), F.col("c").alias("d"))
-        new = cut(step.join(up, step["c"] == up["u"], "left").select("v", "old", F.least("c", F.coalesce("d", "c")).alias("c")))
+        new = cut(salted(step, up, "c", "u", "v", "left").select("v", "old", F.least("c", F.coalesce("d", "c")).alias("c")))
         label = new.select("v", "c")
         if new.filter("c < old").isEmpty():
             return label
 
 
 def stars(buckets: DataFrame, leader) -> DataFrame:
-    """Edges a < b between the members (id, n) of each bucket of key and its leader, where lengths allow similarity."""
-    lead = buckets.groupBy("key").agg(leader.alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("lead.id").alias("a"), F.col("lead.n").alias("m"))
-    return buckets.join(lead, "key").filter("id != a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"))
+    """Edges from the leader a of each bucket of key to its members b (u, n), where lengths allow similarity."""
+    lead = buckets.groupBy("key").agg(leader.alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("lead.u").alias("a"), F.col("lead.n").alias("m"))
+    return buckets.join(lead, "key").filter("u != a").select("a", F.col("u").alias("b"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"))
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
-    """key, class_id (the least key of its class) and n_links (links of its text to other texts that were verified) of each row."""
+def grouped(docs: DataFrame, text: str, key: str, k: int, sketches: int, singles: int, l: int, least: float):  # noqa: E741
+    """The rows as (id, th: digest of the text, null for null texts), and of each distinct text with an id: th, id (least), u (vertex), c (least vertex of its class), links; and whether some id has several texts."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
-    first = held(sketch(rows, k, sketches, l))
-    reps = cut(first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    texts = rows.filter("t is not null and id is not null")
-    slim = reps.filter(F.size("keys") > 0).select("id", "n", "keys")
+    first = held(sketch(rows, k, sketches, singles, l))
+    reps = first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = held(reps)
+    several = held(reps.groupBy(F.col("id").alias("several")).count().filter("count > 1").select("several"))
+    clash = not several.isEmpty()
+    reps = reps.withColumn("u", F.col("id")) if not clash else reps.join(several, F.col("id") == F.col("several"), "left").withColumn("u", F.when(F.col("several").isNull(), F.col("id")).otherwise(F.xxhash64("th", "id"))).drop("several")
+    slim = reps.filter(F.size("keys") > 0).select("u", "n", "keys")
     near = F.col("short") >= F.col("long") * least - 1e-9
-
-    each = slim.select("id", "n", F.posexplode("keys").alias("p", "x")).select("id", "n", F.xxhash64("p", "x").alias("key"))
-    one = cut(stars(each, F.min(F.struct("id", "n"))).filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys")))
+    texts = rows.filter("t is not null and id is not null")
+    if clash:
+        names = reps.select(F.col("th").alias("x"), F.col("id").alias("i"), "u")
+        texts = texts.join(names, (F.col("th") == F.col("x")) & (F.col("id") == F.col("i"))).select("u", "t")
+    else:
+        texts = texts.withColumn("u", F.col("id"))
+
+    each = slim.select("u", "n", F.posexplode("keys").alias("p", "x")).select("u", "n", F.xxhash64("p", "x").alias("key"))
+    one = cut(stars(each, F.min(F.struct("u", "n"))).filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys")))
     # each member against the leader with which it shares the most keys; its other leaders only if they are of other classes
     best = cut(one.groupBy("b").agg(F.min_by("a", F.struct(-F.col("keys"), "a")).alias("a")).select("a", "b"))
-    links = cut(verified(best, texts, least))
+    links = cut(verified(best, texts, least).distinct())
     label = components(links)
 
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda p: F.struct(F.xxhash64(p, F.get("keys", p), F.get("keys", (p + 1) % sketches)).alias("x"), F.xxhash64(p, F.lit(1), F.get("keys", p), F.get("keys", (p + 2) % sketches)).alias("y")))
-    fine = slim.select("id", "n", F.explode(pairs).alias("q")).select("id", "n", F.explode(F.array("q.x", "q.y")).alias("key"))
-    led = stars(fine, F.min_by(F.struct("id", "n"), F.xxhash64("key", "id"))).filter(near).select("a", "b").union(one.select("a", "b")).distinct()
+    n = sketches + singles
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.xxhash64(p, F.get("keys", p), F.get("keys", (p + 1) % n)))
+    fine = slim.select("u", "n", F.explode(pairs).alias("key"))
+    led = stars(fine, F.min_by(F.struct("u", "n"), F.xxhash64("key", "u"))).filter(near).select("a", "b").union(one.select("a", "b"))
+    led = led.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("a", "b")).alias("e")).select("e.a", "e.b")
     for end in ("a", "b"):
-        named = label.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
-        led = led.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        named = label.select(F.col("v").alias(f"v{end}"), F.col("c").alias(f"c{end}"))
+        led = led.join(named, F.col(end) == F.col(f"v{end}"), "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     two = cut(led.filter("ca != cb").select("a", "b").join(best, ["a", "b"], "left_anti"))
-    more = verified(two, texts, least)
-    links = cut(links.union(more))
-    label = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
-    member = reps.select("th", "id").join(label.join(degree, "v"), F.col("id") == F.col("v"), "left").select(F.col("th").alias("x"), F.coalesce("c", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    # rows with equal texts may be many: the join on the digest may be split where it is skewed
-    out = first.select("id", "th").join(member, F.col("th") == F.col("x"), "left")
-    return out.select(F.col("id").alias(key), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    more = cut(verified(two, texts, least).distinct())
+    if not more.isEmpty():
+        links = cut(links.union(more))
+        label = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("links"))
+    of = label.join(degree, F.col("v") == F.col("w"))
+    texts_of = reps.select("th", "id", "u").join(of, F.col("u") == F.col("v"), "left").select("th", "id", "u", F.coalesce("c", "u").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+    return first.select("id", "th"), texts_of, clash
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each class; rows with null key stay."""
-    found = classes(docs, text, key, **how)
-    gone = cut(found.filter(F.col("class_id") != F.col(key)).select(F.col(key).alias("_k")).distinct())
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+    """key, class_id (the least key of its class) and n_links (links of its text to other texts that were verified) of each row."""
+    rows, texts, clash = grouped(docs, text, key, k, sketches, singles, l, least)
+    if clash:  # a vertex number may be a hash: the least id of each class is looked up
+        least_id = texts.groupBy(F.col("c").alias("cc")).agg(F.min("id").alias("class_id"))
+        texts = texts.join(least_id, F.col("c") == F.col("cc"))
+    else:
+        texts = texts.withColumn("class_id", F.col("c"))
+    texts = texts.select(F.col("th").alias("x"), "class_id", "links")
+    # rows with equal texts may be many: the join on the digest is salted
+    out = salted(rows.filter("th is not null"), texts, "th", "x", "id", "left").select("id", "class_id", "links")
+    out = out.unionByName(rows.filter("th is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+    return out.select(F.col("id").alias(key), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+    """docs with one row of each class, that of its least vertex; rows with null key, and with null text, stay.
+
+    A row goes by its id and the digest of its text together, so an id with several texts loses only those that are copies.
+    """
+    rows, texts, _ = grouped(docs, text, key, k, sketches, singles, l, least)
+    rows = rows.filter("th is not null and id is not null")
+    about = texts.select(F.col("th").alias("x"), F.col("id").alias("kept"), (F.col("u") != F.col("c")).alias("copy"))
+    mine = salted(rows, about, "th", "x", "id")
+    gone = cut(mine.filter("copy or id != kept").select(F.col("id").alias("_gi"), F.col("th").alias("_gt")).distinct())
+    twice = cut(rows.groupBy(F.col("id").alias("_gi"), F.col("th").alias("_gt")).count().filter("count > 1").select("_gi", "_gt"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)  # of checked size
-    left = docs.join(gone, docs[key] == gone["_k"], "left_anti")
-    twice = found.filter(F.col("class_id") == F.col(key)).groupBy(key).count().filter("count > 1")
-    return left if twice.isEmpty() else left.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.filter(F.col(key).isNull()))
+    digest = F.unhex(F.md5(docs[text].cast("string").cast("binary")))
+    this = lambda other: (docs[key].cast("long") == other["_gi"]) & (digest == other["_gt"])
+    left = docs.join(gone, this(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.join(twice, this(twice), "left_anti").unionByName(left.join(twice, this(twice), "left_semi").dropDuplicates([key, text]))
