@@ -2,20 +2,28 @@
 
 Base kinds are regular expressions (assign, access, hex). A randomness test
 battery adds the kind random: runs of 20 or more token characters, outside the
-base spans, are taken as hex, base32 or base64 by their characters. Tests of
-the hypothesis that a run is uniform in its encoding: chi-squared over the
-alphabet, chi-squared over character classes, the runs test about the middle
-of the alphabet, and lag-1 serial correlation of the codes; the least p-value
-times the number of tests holds. Runs for which that hypothesis is rejected
-are ordinary text. Rejection is by Benjamini-Hochberg over all runs of all
-documents, each p-value divided by a weight of mean 1 in inverse proportion to
-its length: a truly random run is dismissed no more often if it is long, and
-text that is long has evidence to spare; what survives is random. The threshold comes from a histogram of the p-values, whose size doesn't depend on the data.
+base spans, are taken as hex (dashes aside), base32, base36 or base64 by their
+characters. Two hypotheses are tested of each run:
+
+* uniform in its encoding: chi-squared over the alphabet, chi-squared over
+  character classes, the runs test about the middle of the alphabet, and lag-1
+  serial correlation of the codes. The least p-value times the number of tests
+  dismisses a run as text below `uniform` (0.001), whatever its length: one truly random run in a
+  thousand is lost so.
+* ordinary text: changes of character class at a rate of at most that of
+  identifiers, and common letters at a share of at least that of words. The
+  likelihood ratio of uniform to that bound, from the run's number of class
+  changes and its split of letters, has mean at most 1 over ordinary text, so
+  its inverse is a p-value, and long runs have more evidence for or against.
+
+Runs that pass the first and for which the second is rejected by Benjamini-Hochberg over all runs of
+all documents are random: of these, at most a share of `level` are expected to be ordinary text. The threshold comes from a
+histogram of the ratios, whose size doesn't depend on the data; each run's tests are made in its own row.
 
 Cases: null text is empty and has no spans; positions are code points, end
 exclusive. Base spans of one kind do not overlap; matches that fail their
-length still consume their text. Repeated rows are scanned each; rows with
-equal id and text have equal spans. An empty table gives no rows.
+length still consume their text. Very long texts are scanned whole, in time that grows with their length. Repeated rows are scanned each; rows with
+equal id and text have equal spans. Columns other than text and key are never read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,25 +49,47 @@ MAY = {
     "hex": r"[0-9a-f]{24}",
 }
 KINDS = [*BASE, "random"]
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: size of each encoding: its alphabet, the bounds of its character classes, the chance that two neighbours of a uniform run differ in class, and the rate at which they do in ordinary text
+ENCODINGS = {
+    16: (DIGITS + "abcdef", (0, 10, 16), 0.469, 0.2),
+    32: (UPPER + "234567", (0, 26, 32), 0.305, 0.15),
+    36: (UPPER + DIGITS, (0, 26, 36), 0.401, 0.2),
+    64: (UPPER + UPPER.lower() + DIGITS + "+/", (0, 26, 52, 62, 64), 0.645, 0.25),
+}
+#: fixed values: letters that are common in words of Latin script, and the share of these in ordinary text
+COMMON, COMMON_TEXT = "etaoinsrhl", 0.65
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def found(text: Column, pattern: str, group: int, least: int) -> Column:
     """start, end, value of the leftmost non-overlapping matches: their places follow from the lengths of the pieces between them."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
     between = F.split(text, pattern, -1)
-    parts = F.zip_with(F.zip_with(matches, values, lambda m, v: F.struct(m.alias("m"), v.alias("v"))), F.slice(between, 1, F.size(matches)), lambda x, b: F.struct(x.m.alias("m"), x.v.alias("v"), F.length(b).alias("b")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("got"))
 
+    def zipped(m):
+        both = F.transform(m, lambda x: F.struct(x.alias("m"), x.alias("v"))) if values is None else F.zip_with(m, values, lambda x, v: F.struct(x.alias("m"), v.alias("v")))
+        return F.zip_with(both, F.slice(between, 1, F.size(m)), lambda x, y: F.struct(x.m.alias("m"), x.v.alias("v"), F.length(y).alias("b")))
+
+    # spans are appended to short arrays, of 64 matches each, and these put together: copies stay few in texts of many matches
     def step(acc, x):
         start = acc.at + x.b
         end = start + F.length(x.m)
         span = F.struct(start.alias("start"), end.alias("end"), x.v.alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x.v) >= least, F.concat(acc.got, F.array(span))).otherwise(acc.got).alias("got"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc.got)
+    def chunk_step(acc, chunk):
+        inner = F.aggregate(chunk, F.struct(acc.at.alias("at"), F.array().cast(SPAN).alias("got")), step)
+        return let(inner, lambda r: F.struct(r.at.alias("at"), F.concat(acc.got, F.array(r.got)).alias("got")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("got"))
+    return let(let(matches, zipped), lambda whole: F.aggregate(F.when(F.size(whole) > 0, F.transform(F.sequence(F.lit(0), F.size(whole) - 1, F.lit(64)), lambda i: F.slice(whole, i + 1, 64))).otherwise(F.slice(F.array(whole), 1, 0)), zero, chunk_step, lambda acc: F.flatten(acc.got)))
 
 
 def tail(x: Column) -> Column:
@@ -76,82 +106,133 @@ def chi_tail(x: Column, dof: Column) -> Column:
     return F.when(z > 0, tail(z) / 2).otherwise(1 - tail(z) / 2)
 
 
-def encoding(value: Column) -> tuple[Column, Column]:
-    """A run without padding and with plain base64 signs, and the size of the alphabet inferred from it."""
-    bare = F.regexp_replace(F.translate(value, "-_", "+/"), "=", "")
-    size = F.when(bare.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), 16).when(bare.rlike(r"^[A-Z2-7]+$") & bare.rlike("[2-7]"), 32).otherwise(64)
-    return bare, size
-
-
-def tested(rows: DataFrame) -> DataFrame:
-    """rows with n (length) and p (of uniformity in the inferred encoding), from column value."""
-    bare, size = encoding(F.col("value"))
-    rows = rows.withColumn("_bare", bare).withColumn("a", size)
-    rows = rows.withColumn("_bare", F.when(F.col("a") == 16, F.lower("_bare")).otherwise(F.col("_bare")))
-    table = F.when(F.col("a") == 16, F.lit(ALPHABETS[16])).when(F.col("a") == 32, F.lit(ALPHABETS[32])).otherwise(F.lit(ALPHABETS[64]))
-    rows = rows.withColumn("_chars", F.filter(F.split("_bare", ""), lambda c: c != "")).withColumn("_table", table)
-    rows = rows.withColumn("codes", F.expr("transform(_chars, c -> cast(instr(_table, c) - 1 as double))"))
-    n, a = F.size("codes").cast("double"), F.col("a").cast("double")
-    # on the run itself: a condition on codes is pushed below with their whole expression in it, which then runs the regular expressions once for each character
-    rows = rows.filter(F.length("_bare") >= 2)
-    squares = F.expr("aggregate(array_distinct(codes), 0D, (s, c) -> s + pow(size(filter(codes, x -> x = c)), 2))")
-    chi = squares * a / n - n
-    # character classes of the encoding: letters and digits, and for base64 both cases and the two signs
-    share = F.when(F.col("a") == 16, F.expr("array(10D/16, 6D/16)")).when(F.col("a") == 32, F.expr("array(26D/32, 6D/32)")).otherwise(F.expr("array(26D/64, 26D/64, 10D/64, 2D/64)"))
-    bounds = F.when(F.col("a") == 16, F.expr("array(0D, 10D, 16D)")).when(F.col("a") == 32, F.expr("array(0D, 26D, 32D)")).otherwise(F.expr("array(0D, 26D, 52D, 62D, 64D)"))
-    rows = rows.withColumn("_share", share).withColumn("_bounds", bounds)
-    classes = F.expr("aggregate(sequence(0, size(_share) - 1), 0D, (s, i) -> s + pow(size(filter(codes, x -> x >= _bounds[i] and x < _bounds[i + 1])) - size(codes) * _share[i], 2) / (size(codes) * _share[i]))")
-    high = F.expr("size(filter(codes, x -> x >= a / 2))").cast("double")
-    runs = F.expr("1D + size(filter(sequence(1, size(codes) - 1), i -> (codes[i] >= a / 2) != (codes[i - 1] >= a / 2)))")
-    mean = F.expr("aggregate(codes, 0D, (s, x) -> s + x) / size(codes)")
-    # each statistic is a column of its own: the tails name it many times, and it is a pass over the run
-    rows = rows.withColumn("_mean", mean).withColumn("_high", high).withColumn("_chi", chi).withColumn("_classes", classes).withColumn("_runs", runs)
-    low = n - F.col("_high")
-    want = 2 * F.col("_high") * low / n + 1
-    spread = (want - 1) * (want - 2) / (n - 1)
-    p_runs = F.when((F.col("_high") == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).when(spread > 0, tail((F.col("_runs") - want) / F.sqrt(spread))).otherwise(1.0)
-    lag = F.expr("aggregate(sequence(1, size(codes) - 1), 0D, (s, i) -> s + (codes[i] - _mean) * (codes[i - 1] - _mean))")
-    own = F.expr("aggregate(codes, 0D, (s, x) -> s + pow(x - _mean, 2))")
-    rows = rows.withColumn("_lag", lag).withColumn("_own", own)
-    lag, own = F.col("_lag"), F.col("_own")
-    p_serial = F.when(own > 0, tail(lag / own * F.sqrt(n) + 1 / F.sqrt(n))).otherwise(F.pow(F.lit(2.0), 1 - n))
-    tests = [chi_tail(F.col("_chi"), a - 1), chi_tail(F.col("_classes"), F.size("_share").cast("double") - 1), p_runs, p_serial]
-    return rows.withColumn("n", F.size("codes")).withColumn("p", F.least(F.lit(1.0), F.least(*tests) * len(tests))).drop("_bare", "_chars", "_table", "codes", "_share", "_bounds", "_mean", "_high", "_chi", "_classes", "_runs", "_lag", "_own")
-
-
-def random_runs(runs: DataFrame, level: float = 0.01, steps: int = 20, bins: int = 6000) -> DataFrame:
-    """The rows of runs (column value) that the battery can't tell from random at false-discovery level `level`.
-
-    The p-values over their weights fall into `bins` bins, `steps` to a factor of ten; the bound is the upper end of the last bin for which Benjamini-Hochberg holds.
+def encoding(value: Column) -> Column:
+    """bare (a run without padding, with plain base64 signs, in the case of its alphabet) and a, the size of the alphabet inferred from it."""
+
+    def inferred(x):
+        hexes, digit = x.rlike("^([0-9a-f-]+|[0-9A-F-]+)$"), x.rlike("[0-9]")
+        size = F.when(hexes, 16).when(x.rlike("^([A-Z2-7]+|[a-z2-7]+)$") & digit, 32).when(x.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & digit, 36).otherwise(64)
+        return let(size, lambda a: F.struct(F.when(a == 16, F.lower(F.replace(x, F.lit("-"), F.lit("")))).when(a == 64, F.translate(x, "-_", "+/")).otherwise(F.upper(x)).alias("bare"), a.alias("a")))
+
+    return let(F.translate(value, "=", ""), inferred)
+
+
+def by_size(a: Column, pick) -> Column:
+    """pick(size) for the size that a holds."""
+    out = None
+    for size in ENCODINGS:
+        out = F.when(a == size, pick(size)) if out is None else out.when(a == size, pick(size))
+    return out
+
+
+def uniformity(codes: Column, a: Column) -> Column:
+    """The p-value of the battery: of codes, uniform over 0 .. a - 1."""
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
+    count = lambda f: F.size(F.filter(codes, f)).cast("double")
+    size, n = a.cast("double"), F.size(codes).cast("double")
+    chi = total(F.array_distinct(codes), lambda c: F.pow(count(lambda x: x == c), 2)) * size / n - n
+    share = by_size(a, lambda k: F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit((hi - lo) / k).alias("p")) for lo, hi in zip(ENCODINGS[k][1], ENCODINGS[k][1][1:])]))
+    classes = total(share, lambda c: F.pow(count(lambda x: (x >= c.lo) & (x < c.hi)) - n * c.p, 2) / (n * c.p))
+    mean = total(codes, lambda x: x) / n
+    steps = F.zip_with(F.slice(codes, 2, F.size(codes)), F.slice(codes, 1, F.size(codes) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def tests(s):
+        low = n - s.high
+        want = 2 * s.high * low / n + 1
+        spread = (want - 1) * (want - 2) / (n - 1)
+        p_runs = F.when((s.high == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).when(spread > 0, tail((s.runs - want) / F.sqrt(spread))).otherwise(1.0)
+        p_serial = F.when(s.own > 0, tail(s.lag / s.own * F.sqrt(n) + 1 / F.sqrt(n))).otherwise(F.pow(F.lit(2.0), 1 - n))
+        dof = by_size(a, lambda k: F.lit(len(ENCODINGS[k][1]) - 2.0))
+        return F.least(F.lit(1.0), 4 * F.least(chi_tail(s.chi, size - 1), chi_tail(s.classes, dof), p_runs, p_serial))
+
+    def sums(m):
+        high = count(lambda x: x >= size / 2)
+        runs = F.size(F.filter(steps, lambda t: (t.x >= size / 2) != (t.y >= size / 2))) + 1.0
+        lag = total(steps, lambda t: (t.x - m) * (t.y - m))
+        own = total(codes, lambda x: F.pow(x - m, 2))
+        return let(F.struct(chi.alias("chi"), classes.alias("classes"), high.alias("high"), runs.alias("runs"), lag.alias("lag"), own.alias("own")), tests)
+
+    return let(mean, sums)
+
+
+def evidence(bare: Column, a: Column) -> Column:
+    """log10 of the likelihood ratio of a uniform run to ordinary text, at the bounds of ordinary text."""
+    classed = F.translate(bare, UPPER.lower() + UPPER + DIGITS + "+/", "a" * 26 + "A" * 26 + "0" * 10 + "++")
+    changes = F.length(F.regexp_replace(classed, r"(.)\1*", ".")) - 1
+    letters = F.regexp_replace(F.lower(bare), "[^a-z]", "")
+    common = F.length(F.regexp_replace(letters, f"[^{COMMON}]", ""))
+    log = lambda x, y: math.log10(x / y)
+    uniform = len(COMMON) / 26
+    kept = F.length(bare) - 1 - changes
+    turns = by_size(a, lambda k: changes * log(*ENCODINGS[k][2:]) + kept * log(*(1 - x for x in ENCODINGS[k][2:])))
+    split = common * log(uniform, COMMON_TEXT) + (F.length(letters) - common) * log(1 - uniform, 1 - COMMON_TEXT)
+    return turns + F.when(a == 16, 0.0).otherwise(split)  # of the letters a to f no split is known
+
+
+def battery(value: Column) -> Column:
+    """p (of uniformity) and e (log10 of the evidence against ordinary text) of a run."""
+
+    def tested(b):
+        table = by_size(b.a, lambda k: F.lit(ENCODINGS[k][0]))
+        codes = F.transform(F.filter(F.split(b.bare, ""), lambda c: c != ""), lambda c: (F.call_function("instr", table, c) - 1).cast("double"))
+        p = let(codes, lambda x: uniformity(x, b.a))
+        return F.when(F.length(b.bare) >= 2, F.struct(p.alias("p"), evidence(b.bare, b.a).alias("e"))).otherwise(F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("e")))
+
+    return let(encoding(value), tested)
+
+
+def threshold(runs: DataFrame, level: float = 0.01, uniform: float = 0.001, steps: int = 20, bins: int = 6000) -> DataFrame:
+    """One row, least: the evidence from which Benjamini-Hochberg at `level` rejects ordinary text, over all runs (columns p, e); infinity if nowhere.
+
+    Evidence falls into bins, `steps` to a factor of ten, each taken at its lower end.
     """
-    rows = held(tested(runs))
-    whole = rows.agg(F.avg(1 / F.col("n")).alias("mean_w"), F.count(F.lit(1)).alias("m"))
-    rows = rows.crossJoin(F.broadcast(whole))  # one row
-    q = F.col("p") / (1 / F.col("n") / F.col("mean_w"))
-    rows = rows.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins), F.floor(bins + steps * F.log10(F.least(F.lit(1.0), q))))).cast("int"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m")).withColumn("k", F.sum("k").over(upto))
-    holds = F.pow(F.lit(10.0), (F.col("bin") + 1 - bins) / steps) <= level * F.col("k") / F.col("m")
-    last = counts.filter(holds).agg(F.coalesce(F.max("bin"), F.lit(-1)).alias("last"))
-    return rows.crossJoin(F.broadcast(last)).filter(F.col("bin") > F.col("last"))  # one row
-
-
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", level: float = 0.01) -> DataFrame:
-    """doc_id, tie (a hash of the text) and spans (array of start, end, kind as its place in KINDS) of each row."""
+    at = F.greatest(F.lit(0), F.least(F.lit(bins), F.floor(F.col("e") * steps))).cast("int")
+    counts = runs.groupBy(F.when(F.col("p") >= uniform, at).otherwise(-1).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # over at most bins + 2 rows
+    counts = counts.withColumn("above", F.sum("k").over(above)).withColumn("m", F.sum("k").over(Window.partitionBy()))
+    holds = (F.col("bin") >= 0) & (F.pow(F.lit(10.0), -F.col("bin") / steps) * F.col("m") <= level * F.col("above"))
+    return counts.filter(holds).agg(F.coalesce(F.min("bin") / steps, F.lit(float("inf"))).alias("least"))
+
+
+def spans_of(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _found: base (array of start, kind, end) and runs (array of start, end, p, e) of each row, all made in the row."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(t, F.length(t)).alias("tie"), t.alias("t"))
     empty = F.array().cast(SPAN)
-    columns = [F.when(F.col("t").rlike(MAY[kind]), found(F.col("t"), *BASE[kind])).otherwise(empty).alias(kind) for kind in BASE]
-    runs = F.when(F.col("t").rlike(r"[A-Za-z0-9+/_=-]{20}"), found(F.col("t"), RUN, 0, 20)).otherwise(empty).alias("runs")
-    first = rows.select("doc_id", "tie", *columns, runs)
-    base = F.concat(*[F.expr(f"transform({kind}, s -> struct(s.start as start, {k} as kind, s.end as end))") for k, kind in enumerate(BASE)])
-    outside = F.filter("runs", lambda r: ~F.exists("base", lambda s: (s.start < r.end) & (r.start < s.end)))
-    first = held(first.withColumn("base", base).withColumn("runs", outside).select("doc_id", "tie", "base", "runs"))
-    each = first.filter(F.size("runs") > 0).select("doc_id", "tie", F.explode("runs").alias("r")).select("doc_id", "tie", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.value").alias("value")).distinct()
-    more = random_runs(each, level).groupBy(F.col("doc_id").alias("_i"), F.col("tie").alias("_t")).agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("kind"), "end")).alias("more"))
-    both = first.join(more, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("tie") == F.col("_t")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return both.select("doc_id", "tie", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    # the keywords are looked for before any pattern is: most texts have none
+    words = F.lower(t)
+    may = F.contains(words, F.lit("password")) | F.contains(words, F.lit("passwd")) | F.contains(words, F.lit("secret")) | F.contains(words, F.lit("token")) | F.contains(words, F.lit("api"))
+    hit = {kind: t.rlike(MAY[kind]) for kind in BASE}
+    hit["assign"] = may & hit["assign"]
+    hit["access"] = F.contains(t, F.lit("AKIA")) & hit["access"]
+    named = lambda kind, spans: F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s.end.alias("end")))
+    kinds = [named(kind, F.when(hit[kind], found(t, *BASE[kind])).otherwise(empty)) for kind in BASE]
+    runs = F.when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), found(t, RUN, 0, 20)).otherwise(empty)
+
+    # everything is bound once by let: columns that name each other would be put into one another, and computed again for each span
+    def judged(base):
+        # base spans in groups of 64 with their bounds, so that a run meets few of them one by one
+        group = lambda g: F.struct(g[0].start.alias("lo"), F.array_max(F.transform(g, lambda s: s.end)).alias("hi"), g.alias("g"))
+        groups = let(F.array_sort(base), lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.size(o), F.lit(1)), F.lit(64)), lambda i: let(F.slice(o, i, 64), group)))
+        clear = lambda r, gs: ~F.exists(gs, lambda g: (g.lo < r.end) & (r.start < g.hi) & F.exists(g.g, lambda s: (s.start < r.end) & (r.start < s.end)))
+        outside = F.when(F.size(base) == 0, runs).otherwise(let(groups, lambda gs: F.filter(runs, lambda r: clear(r, gs))))
+        made = F.transform(outside, lambda r: let(battery(r.value), lambda v: F.struct(r.start.alias("start"), r.end.alias("end"), v.p.alias("p"), v.e.alias("e"))))
+        return F.struct(base.alias("base"), made.alias("runs"))
+
+    return docs.withColumn("_found", let(F.concat(*kinds), judged))
+
+
+def with_random(least: Column, uniform: float) -> Column:
+    """Base spans and random runs of a row, in order."""
+    random = F.filter("_found.runs", lambda r: (r.p >= uniform) & (r.e >= least))
+    return F.array_sort(F.concat("_found.base", F.transform(random, lambda r: F.struct(r.start.alias("start"), F.lit(len(BASE)).alias("kind"), r.end.alias("end")))))
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", level: float = 0.01, uniform: float = 0.001) -> DataFrame:
+    """doc_id, base and spans (arrays of start, kind as its place in KINDS, end) of each row."""
+    rows = held(spans_of(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), "_text").drop("_text"))
+    bound = threshold(rows.select(F.explode("_found.runs").alias("r")).select("r.p", "r.e"), level, uniform)
+    both = rows.crossJoin(F.broadcast(bound))  # one row
+    return both.select("doc_id", F.col("_found.base").alias("base"), with_random(F.col("least"), uniform).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -160,19 +241,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]", level: float = 0.01) -> DataFrame:
-    """docs with every span replaced by `mark`, overlapping spans by one; rows without spans are unchanged."""
-    hits = scan(docs, text, key, level).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_si"), F.col("tie").alias("_st"), F.col("spans").alias("_ss")).dropDuplicates(["_si", "_st"])
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.join(hits, docs[key].eqNullSafe(F.col("_si")) & (F.xxhash64(t, F.length(t)) == F.col("_st")), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    source = docs[text].cast("string")
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", level: float = 0.01, uniform: float = 0.001) -> DataFrame:
+    """docs with every span replaced by `mark`, overlapping spans by one; rows without spans are unchanged.
+
+    The texts are read twice, once for the threshold of all runs, and never shuffled.
+    """
+    runs = spans_of(docs.select(F.col(text).alias("_text")), "_text").select(F.explode("_found.runs").alias("r")).select("r.p", "r.e")
+    bound = held(threshold(runs, level, uniform))
+    rows = spans_of(docs, text).crossJoin(F.broadcast(bound)).withColumn("_spans", with_random(F.col("least"), uniform))  # one row
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    source = F.col(text).cast("string")
 
     def step(acc, s):
         fresh = s.start >= acc.at
-        out = F.when(fresh, F.concat(acc.out, F.substring(source, acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise(acc.out)
+        out = F.when(fresh, F.concat(acc.out, F.array(F.substring(source, acc.at + 1, s.start - acc.at), F.lit(mark)))).otherwise(acc.out)
         return F.struct(F.greatest(acc.at, s.end).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_ss", zero, step, lambda acc: F.concat(acc.out, F.substring(source, acc.at + 1, F.length(source))))
-    columns = [F.when(F.col("_ss").isNotNull(), clean).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns]
-    return both.select(*columns)
+    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substring(source, acc.at + 1, F.length(source))))
+    return rows.select(*[F.when(F.size("_spans") > 0, clean).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
