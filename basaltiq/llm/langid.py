@@ -16,7 +16,9 @@ all positions of a block at once.
 
 Cases: null text, and text without a letter, is `und` with score 0. Ties go to
 the language that sorts first. No labelled row at all: every text is `und`.
-Repeated rows are scored each. Only the named columns are read.
+Very long texts are scored whole, block by block; for learning they are cut to
+their first `longest` bytes. Repeated rows are scored each. Only the named
+columns are read, whatever the others are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,6 +168,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return PPM(texts, order)
 
 
+def labelled(model: PPM, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and bits a byte of each text; `und`, 0 and 0 for texts without a letter."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
+    lang, score, rate = model.predict([t if ok else b"" for t, ok in zip(texts.cast(pa.binary()).to_pylist(), letters)])
+    return [g if ok else UND for g, ok in zip(lang, letters)], [x if ok else 0.0 for x, ok in zip(score, letters)], rate
+
+
 def predict(docs: DataFrame, model: PPM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score and bits_per_byte of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,12 +183,7 @@ def predict(docs: DataFrame, model: PPM, text: str = "text", key: str = "doc_id"
     def scored(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(1)
-            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
-            raw = [t if ok else b"" for t, ok in zip(texts.cast(pa.binary()).to_pylist(), letters)]
-            lang, score, rate = m.predict(raw)
-            lang = [g if ok else UND for g, ok in zip(lang, letters)]
-            score = [s if ok else 0.0 for s, ok in zip(score, letters)]
+            lang, score, rate = labelled(m, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[key, "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(scored, f"`{key}` {kind}, lang_pred string, score double, bits_per_byte double")

@@ -1,8 +1,9 @@
 import hashlib
 
 import corpus_pipeline as P
-from basaltiq.llm import langid, secrets
+from basaltiq.llm import langid, mixing, secrets
 from basaltiq.llm.bpe import codec
+from pyspark.sql import functions as F
 
 
 def test_stages_keep_columns_and_decide(spark, small, documents):
@@ -31,6 +32,25 @@ def test_odd_rows(spark, documents):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_mix_stage_meets_its_targets(spark):
+    """On sf0.01, from the stage's own input and output: words of each source within 2 % of its target."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = F.regexp_count("text", F.lit(mixing.WORD))
+    target = {r.source: r.target for r in mixing.targets(mixing.sizes(docs)).collect()}
+    got = {r.source: r.n for r in P.mix(spark, docs, "").groupBy("source").agg(F.sum(words).alias("n")).collect()}
+    for source, want in target.items():
+        assert abs(got[source] / want - 1) < 0.02, (source, got[source], want)
+
+
+def test_language_stage_rejects_what_no_tree_knows(spark, documents):
+    plain = [(i, f"the small words of some text number {i} and the others", "en") for i in range(40)]
+    strange = [(100, "漢字の文章は木にない", None), (102, "the words of a text", None), (103, None, "en")]
+    out = {r.doc_id: r.lang for r in P.language_id(spark, documents(plain + strange), "").collect()}
+    assert out == {i: "en" for i in range(40)} | {102: "en"}
+    nothing = documents([(1, "abc", None), (2, "12", None)])
+    assert [(r.doc_id, r.lang) for r in P.language_id(spark, nothing, "").collect()] == [(1, None)]
+
+
 def test_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "secret_scan", "mix", "encode"]
     assert langid and secrets
