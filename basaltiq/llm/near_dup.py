@@ -2,7 +2,7 @@
 
 A text's k-mers are its windows of `k` (5) words; each is labelled with its
 occurrence number, so repeats count. For each of `sketches` hash functions the
-`l` least labelled k-mers are kept in the order in which they stand in the
+two least labelled k-mers are kept in the order in which they stand in the
 text: a key that is sensitive to edits and not just to the set of k-mers. The
 least k-mer alone is a second key, of these `sketches` functions and `singles`
 more, which finds links near the bound.
@@ -34,7 +34,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,87 +52,135 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def labelled(words: list[str], hashes: WordHash, k: int) -> np.ndarray:
-    """Hashes of the k-mers of a text, each with its occurrence number, in text order."""
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(w) == 0:
-        return w
-    n = max(1, len(w) - k + 1)
-    g = np.zeros(n, np.uint64)
-    for j in range(min(k, len(w))):  # a polynomial of the words' hashes, which are mixed already
-        g = g * M1 + w[j : j + n]
+#: bytes of ASCII word characters, and all bytes of others, which only words hold when their hashes are made
+WORD_BYTE = np.array([chr(c).isalnum() or c == 95 or c > 127 for c in range(256)])
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = np.uint64(pow(int(M1), -1, 1 << 64))
+        _powers[:] = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x)))) for x in (M1, inverse)]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def plain(text: str | None) -> bytes:
+    """The words of a text in bytes, with anything but word bytes between them."""
+    t = (text or "").lower()
+    return t.encode() if t.isascii() else " ".join(WORD.findall(t)).encode("utf-8", "surrogatepass")
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the bytes, and where it begins."""
+    inside = np.concatenate(([False], WORD_BYTE[raw], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, after = edge[::2], edge[1::2]
+    up, down = powers(len(raw))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
+    return mix((sums[after] - sums[first]) * (down[first] if len(first) else first.astype(np.uint64)) + (after - first).astype(np.uint64) * M2), first
+
+
+def hashed(text: str) -> np.ndarray:
+    """The hashed words of a text."""
+    raw = plain(text)
+    step = 1 << 20
+    if len(raw) <= step:
+        return word_hashes(np.frombuffer(raw, np.uint8))[0]
+    # a very long text goes in pieces that end between words
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + step)
+        while end < len(raw) and WORD_BYTE[raw[end]] and WORD_BYTE[raw[end - 1]]:
+            end += 1
+        out.append(word_hashes(np.frombuffer(raw[at:end], np.uint8))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def labelled(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of texts laid end to end, of `sizes` words each, every k-mer with its occurrence number in its text, and how many each text has."""
+    count = np.where(sizes > 0, np.maximum(1, sizes - k + 1), 0)
+    begin = np.cumsum(sizes) - sizes
+    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    span = np.repeat(np.minimum(sizes, k), count)  # of a short text, all its words are one k-mer
+    g = np.zeros(len(at), np.uint64)
+    padded = np.concatenate((words, np.zeros(k, np.uint64)))
+    short = bool((sizes[sizes > 0] < k).any())
+    for j in range(k):
+        step = g * M1 + padded[at + j]
+        g = np.where(j < span, step, g) if short else step
     g = mix(g)
-    s = np.sort(g)
-    if not (s[1:] == s[:-1]).any():
-        return g
-    order = np.argsort(g, kind="stable")
-    s = g[order]
-    run = np.concatenate(([True], s[1:] != s[:-1]))
-    first = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-    times = np.empty(n, np.uint64)
-    times[order] = (np.arange(n) - first).astype(np.uint64)
-    return np.where(times > 0, mix(g + times * M2), g)  # first occurrences keep their hash, whether or not a text has repeats
+    # equal k-mers of one text are neighbours in this order
+    key = g ^ mix(np.repeat(np.arange(len(sizes), dtype=np.uint64), count))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    if not new.all():
+        place = np.arange(len(key))
+        times = place - np.maximum.accumulate(np.where(new, place, 0))
+        again = times > 0
+        g[order[again]] = mix(g[order[again]] + times[again].astype(np.uint64) * M2)  # first occurrences keep their hash, whether or not a text has repeats
+    return g, count
 
 
 def seeds_of(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * M2)
 
 
-def order_min_hash(g: np.ndarray, seeds: np.ndarray, ordered: int, l: int = 2) -> list[int]:  # noqa: E741
-    """The least k-mer under each seed, and after these, for the first `ordered` seeds, the l least k-mers in text order."""
-    if len(g) == 0:
-        return []
-    with np.errstate(over="ignore"):
-        best, best_v, best_p = None, None, None
-        odd, row = (seeds | np.uint64(1))[:, None], np.arange(ordered)
-        for at in range(0, len(g), 1 << 16):  # bounded memory for very long texts
-            part = g[None, at : at + (1 << 16)] * odd  # an odd multiplier permutes the hashes
-            low = part.argmin(axis=1)
-            least = part[np.arange(len(seeds)), low]
-            best = least if best is None else np.minimum(best, least)
-            m = min(l, part.shape[1])
-            v, p = np.empty((ordered, m), np.uint64), np.empty((ordered, m), np.int64)
-            part, low = part[:ordered], low[:ordered]
-            for j in range(m):
-                v[:, j], p[:, j] = part[row, low], low + at
-                if j + 1 < m:
-                    part[row, low] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                    low = part.argmin(axis=1)
-            if best_v is not None:
-                v, p = np.hstack([best_v, v]), np.hstack([best_p, p])
-                top = np.argsort(v, axis=1, kind="stable")[:, :l]
-                v, p = np.take_along_axis(v, top, 1), np.take_along_axis(p, top, 1)
-            best_v, best_p = v, p
-        v = np.take_along_axis(best_v, np.argsort(best_p, axis=1), 1)
-        key = np.zeros(ordered, np.uint64)
-        for j in range(v.shape[1]):
-            key = mix(key * M1 + v[:, j])
-        return np.concatenate((mix(mix(best) ^ seeds), mix(key ^ seeds[:ordered]))).view(np.int64).tolist()
-
-
-def sketch(docs: DataFrame, k: int, sketches: int, singles: int, l: int) -> DataFrame:  # noqa: E741
+def order_min_hash(g: np.ndarray, count: np.ndarray, seeds: np.ndarray, ordered: int) -> np.ndarray:
+    """A row of keys for each text with k-mers: the least k-mer under each seed, and after these, for the first `ordered` seeds, the two least k-mers in text order."""
+    count = count[count > 0]
+    begin = np.cumsum(count) - count
+    out = np.empty((len(count), len(seeds) + ordered), np.uint64)
+    several = count > 1
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def places(v, least):
+        """Where each text has its least value."""
+        hit = np.flatnonzero(v == np.repeat(least, count))
+        return hit[np.searchsorted(hit, begin)]
+
+    for j, seed in enumerate(seeds):
+        v = g * (seed | np.uint64(1))  # an odd multiplier permutes the hashes
+        one = np.minimum.reduceat(v, begin)
+        out[:, j] = mix(mix(one) ^ seed)
+        if j < ordered:
+            p = places(v, one)
+            v[p] = top
+            two = np.minimum.reduceat(v, begin)
+            q = places(v, two)
+            a, b = np.where(p < q, one, two), np.where(p < q, two, one)
+            key = mix(mix(np.where(several, a, one)) * M1 + np.where(several, b, np.uint64(0)))
+            out[:, len(seeds) + j] = mix(key ^ seed)
+    return out.view(np.int64)
+
+
+def sketch(docs: DataFrame, k: int, sketches: int, singles: int) -> DataFrame:
     """id, th, n (words) and keys of each row of docs (id, t, th)."""
     seeds = seeds_of(sketches + singles)
 
     def run(batches):
-        hashes = WordHash()
         for batch in batches:
             n, keys = [], []
-            for t in batch.column(1).to_pylist():
-                words = WORD.findall(t.lower()) if t else []
-                n.append(len(words))
-                keys.append(order_min_hash(labelled(words, hashes, k), seeds, sketches, l))
+
+            def done(held):
+                sizes = np.array([len(w) for w in held], np.int64)
+                g, count = labelled(np.concatenate(held), sizes, k)
+                made = iter(order_min_hash(g, count, seeds, sketches).tolist() if len(g) else [])
+                n.extend(sizes.tolist())
+                keys.extend(next(made) if c else [] for c in count.tolist())
+
+            held, words = [], 0
+            for t in batch.column(1):
+                held.append(hashed(t.as_py() or ""))
+                words += len(held[-1])
+                if words > 1 << 15:
+                    done(held)
+                    held, words = [], 0
+            if held:
+                done(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "n", "keys"])
 
     return docs.select("id", "t", "th").mapInArrow(run, "id long, th binary, n long, keys array<long>")
@@ -179,26 +226,37 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(d, most + 1)
 
 
-def hashed(text: str, hashes: WordHash) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def chained(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> int:
+    """An upper bound of the edit distance of x and y: the cost of an alignment through pairs of places (px, py) with equal words."""
+    order = np.argsort(px)
+    px, py = px[order], py[order]
+    rising = py > np.concatenate(([-1], np.maximum.accumulate(py)[:-1])) if len(py) else np.zeros(0, bool)
+    px, py = np.concatenate(([-1], px[rising], [len(x)])), np.concatenate(([-1], py[rising], [len(y)]))
+    a, b = np.diff(px) - 1, np.diff(py) - 1
+    even = a == b
+    at = np.repeat(np.flatnonzero(even), a[even])  # words between two pairs of places on one diagonal are compared in turn
+    i = np.arange(len(at)) - np.repeat(np.cumsum(a[even]) - a[even], a[even]) + 1
+    return int(np.maximum(a, b)[~even].sum() + (x[px[at] + i] != y[py[at] + i]).sum())
 
 
-def similarity(x: np.ndarray, y: np.ndarray, least: float) -> float:
-    """Edit similarity of two arrays of hashed words, 0 if it is below `least`."""
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the edit similarity of two arrays of hashed words is at least `least`: bounds from both sides come first, the band decides what they leave open."""
     if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    longer = max(len(x), len(y))
-    most = int((1 - least) * longer + 1e-9)
+        return len(x) == len(y)
+    most = int((1 - least) * max(len(x), len(y)) + 1e-9)
     if abs(len(x) - len(y)) > most:
-        return 0.0
+        return False
     # words of one that the other lacks bound the distance from below
     u, at = np.unique(np.concatenate((x, y)), return_inverse=True)
-    bag = np.bincount(at[: len(x)], minlength=len(u)) - np.bincount(at[len(x) :], minlength=len(u))
+    cx, cy = np.bincount(at[: len(x)], minlength=len(u)), np.bincount(at[len(x) :], minlength=len(u))
+    bag = cx - cy
     if max(bag[bag > 0].sum(), -bag[bag < 0].sum()) > most:
-        return 0.0
-    d = banded_distance(x, y, most)
-    return 1 - d / longer if d <= most else 0.0
+        return False
+    # words that each has once bound it from above
+    once = (cx == 1) & (cy == 1)
+    px, py = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+    px[at[: len(x)]], py[at[len(x) :]] = np.arange(len(x)), np.arange(len(y))
+    return chained(x, y, px[once], py[once]) <= most or banded_distance(x, y, most) <= most
 
 
 def salted(left: DataFrame, right: DataFrame, on: str, to: str, by: str, how: str = "inner") -> DataFrame:
@@ -223,14 +281,13 @@ def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     parted = texts.select("u", "t").join(roles, F.col("u") == F.col("v")).select("lead", "chunk", "kind", "v", "t")
 
     def run(batches):
-        hashes = WordHash()
         at = first = None
         for batch in batches:
             out_a, out_b = [], []
             for lead, chunk, kind, v, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if kind == 0:
-                    at, first = (lead, chunk), hashed(t, hashes)
-                elif at == (lead, chunk) and similarity(first, hashed(t, hashes), least) >= least:
+                    at, first = (lead, chunk), hashed(t)
+                elif at == (lead, chunk) and similar(first, hashed(t), least):
                     out_a.append(lead)
                     out_b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -258,10 +315,10 @@ def stars(buckets: DataFrame, leader) -> DataFrame:
     return buckets.join(lead, "key").filter("u != a").select("a", F.col("u").alias("b"), F.least("n", "m").alias("short"), F.greatest("n", "m").alias("long"))
 
 
-def grouped(docs: DataFrame, text: str, key: str, k: int, sketches: int, singles: int, l: int, least: float):  # noqa: E741
+def grouped(docs: DataFrame, text: str, key: str, k: int, sketches: int, singles: int, least: float):
     """The rows as (id, th: digest of the text, null for null texts), and of each distinct text with an id: th, id (least), u (vertex), c (least vertex of its class), links; and whether some id has several texts."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
-    first = held(sketch(rows, k, sketches, singles, l))
+    first = held(sketch(rows, k, sketches, singles))
     reps = first.filter("th is not null and id is not null").groupBy("th").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = held(reps)
     several = held(reps.groupBy(F.col("id").alias("several")).count().filter("count > 1").select("several"))
@@ -295,16 +352,22 @@ def grouped(docs: DataFrame, text: str, key: str, k: int, sketches: int, singles
     more = cut(verified(two, texts, least).distinct())
     if not more.isEmpty():
         links = cut(links.union(more))
-        label = components(links)
+        # the further links join classes: their components are those of the graph of classes
+        known = label.unionByName(more.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(label.select("v"), "v", "left_anti").withColumn("c", F.col("v")))
+        joins = more
+        for end in ("a", "b"):
+            joins = joins.join(known.select(F.col("v").alias(f"v{end}"), F.col("c").alias(f"c{end}")), F.col(end) == F.col(f"v{end}"))
+        joined = components(joins.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b")).select(F.col("v").alias("w"), F.col("c").alias("d"))
+        label = cut(salted(known, joined, "c", "w", "v", "left").select("v", F.coalesce("d", "c").alias("c")))
     degree = links.select(F.explode(F.array("a", "b")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("links"))
     of = label.join(degree, F.col("v") == F.col("w"))
     texts_of = reps.select("th", "id", "u").join(of, F.col("u") == F.col("v"), "left").select("th", "id", "u", F.coalesce("c", "u").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
     return first.select("id", "th"), texts_of, clash
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, least: float = 0.8) -> DataFrame:
     """key, class_id (the least key of its class) and n_links (links of its text to other texts that were verified) of each row."""
-    rows, texts, clash = grouped(docs, text, key, k, sketches, singles, l, least)
+    rows, texts, clash = grouped(docs, text, key, k, sketches, singles, least)
     if clash:  # a vertex number may be a hash: the least id of each class is looked up
         least_id = texts.groupBy(F.col("c").alias("cc")).agg(F.min("id").alias("class_id"))
         texts = texts.join(least_id, F.col("c") == F.col("cc"))
@@ -317,12 +380,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5
     return out.select(F.col("id").alias(key), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, l: int = 2, least: float = 0.8) -> DataFrame:  # noqa: E741
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, sketches: int = 12, singles: int = 12, least: float = 0.8) -> DataFrame:
     """docs with one row of each class, that of its least vertex; rows with null key, and with null text, stay.
 
     A row goes by its id and the digest of its text together, so an id with several texts loses only those that are copies.
     """
-    rows, texts, _ = grouped(docs, text, key, k, sketches, singles, l, least)
+    rows, texts, _ = grouped(docs, text, key, k, sketches, singles, least)
     rows = rows.filter("th is not null and id is not null")
     about = texts.select(F.col("th").alias("x"), F.col("id").alias("kept"), (F.col("u") != F.col("c")).alias("copy"))
     mine = salted(rows, about, "th", "x", "id")

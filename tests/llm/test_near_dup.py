@@ -53,14 +53,62 @@ def data():
     return rows, groups
 
 
+def kmers(words):
+    w = N.hashed(" ".join(words))
+    return N.labelled(w, np.array([len(w)]), 5)[0]
+
+
+def keys(words, seeds, ordered=12):
+    g = kmers(words)
+    return N.order_min_hash(g, np.array([len(g)]), seeds, ordered)[0].tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBé_1 .\n-’漢ß", max_size=12), min_size=1, max_size=6))
+def test_words_are_those_of_the_pattern(texts):
+    """Hashed words are equal where the words are, whatever else the texts hold, and texts sketched together as apart."""
+    words = [N.WORD.findall(t.lower()) for t in texts]
+    got = [N.hashed(t) for t in texts]
+    named = {}
+    for w, h in zip(words, got):
+        assert len(w) == len(h)
+        for x, y in zip(w, h.tolist()):
+            assert named.setdefault(x, y) == y
+    assert len(set(named.values())) == len(named)
+    seeds = N.seeds_of(3)
+    g, count = N.labelled(np.concatenate(got), np.array([len(h) for h in got]), 5)
+    rows = iter(N.order_min_hash(g, count, seeds, 2).tolist() if len(g) else [])
+    for h in got:
+        if len(h):
+            alone, n = N.labelled(h, np.array([len(h)]), 5)
+            assert next(rows) == N.order_min_hash(alone, n, seeds, 2)[0].tolist()
+
+
+def test_long_texts_hash_as_their_words():
+    words = [f"w{i % 1000}" for i in range(400_000)]
+    h = N.hashed(" ".join(words))
+    assert len(h) == len(words) and len(set(h.tolist())) == 1000 and h[:1000].tolist() == h[399_000:].tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 60)), max_size=10), st.sampled_from([0.5, 0.8, 0.9]))
+def test_similar_is_the_distance(a, edits, least):
+    b = list(a)
+    for at, what, word in edits:
+        at = min(at, len(b))
+        b[at : at + (what != 1)] = [word] if what < 2 else []
+    want = (1 - plain_distance(a, b) / max(len(a), len(b))) >= least - 1e-9 if b else not a
+    assert N.similar(np.array(a, np.uint64), np.array(b, np.uint64), least) == want
+
+
 def test_repeats_label_only_later_occurrences():
     words = [f"w{i}" for i in range(300)]
-    one, two = (N.labelled(w, N.WordHash(), 5) for w in (words, words + words[:20]))
+    one, two = (kmers(w) for w in (words, words + words[:20]))
     assert two[: len(one)].tolist() == one.tolist() and len(set(two.tolist())) == len(two)
 
 
 def test_keys_find_pairs_near_the_bound():
-    rng, hashes = random.Random(3), N.WordHash()
+    rng = random.Random(3)
     seeds = N.seeds_of(24)
     found = {}
     for off in (50, 38, 25):
@@ -70,8 +118,8 @@ def test_keys_find_pairs_near_the_bound():
             two = one.copy()
             for i in rng.sample(range(250), off):
                 two[i] = f"v{rng.randint(0, 10**9)}"
-            assert abs(N.similarity(N.hashed(" ".join(one), hashes), N.hashed(" ".join(two), hashes), 0.8) - (1 - off / 250)) < 1e-9
-            x, y = (N.order_min_hash(N.labelled(w, hashes, 5), seeds, 12) for w in (one, two))
+            assert N.similar(N.hashed(" ".join(one)), N.hashed(" ".join(two)), 1 - off / 250)
+            x, y = keys(one, seeds), keys(two, seeds)
             found[off] += any(p == q for p, q in zip(x, y)) / 300
     print("share of pairs with a common key, by words replaced of 250:", found)
     assert found[50] >= 0.97 and found[38] >= 0.99 and found[25] >= 0.99
@@ -95,8 +143,7 @@ def test_classes(documents):
 
 def test_links_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    hashes = N.WordHash()
-    rows = {r.doc_id: N.hashed(r.text, hashes) for r in docs.collect()}
+    rows = {r.doc_id: N.hashed(r.text) for r in docs.collect()}
     parent = {i: i for i in rows}
 
     def find(i):
@@ -107,7 +154,7 @@ def test_links_against_brute_force(spark, small):
     ids = sorted(rows)
     for i in ids:
         for j in ids:
-            if i < j and N.similarity(rows[i], rows[j], 0.8) >= 0.8:
+            if i < j and N.similar(rows[i], rows[j], 0.8):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     assert {r.doc_id: r.class_id for r in N.classes(docs).collect()} == {i: find(i) for i in ids}
@@ -142,19 +189,23 @@ def test_one_large_star(documents):
     assert {r.class_id for r in got} == {0} and len(got) == 700
 
 
-def test_sketch_in_blocks():
+def test_keys_against_plain_code():
     rng = np.random.default_rng(1)
-    g = rng.integers(0, 2**63, 150_000).astype(np.uint64)
     seeds = N.seeds_of(4)
-    keys = N.order_min_hash(g, seeds, 2)
+    count = np.array([5000, 0, 1, 2, 300])
+    g = rng.integers(0, 2**63, int(count.sum())).astype(np.uint64)
+    rows = N.order_min_hash(g, count, seeds, 2).tolist()
+    at = 0
     with np.errstate(over="ignore"):
-        for j, s in enumerate(seeds):
-            v = g * (s | np.uint64(1))
-            assert np.uint64(keys[j] % 2**64) == N.mix(N.mix(v.min()) ^ s)
-            if j < 2:
-                two = np.sort(np.argsort(v)[:2])
-                key = N.mix(N.mix(np.uint64(0) * N.M1 + v[two[0]]) * N.M1 + v[two[1]])
-                assert np.uint64(keys[4 + j] % 2**64) == N.mix(key ^ s)
+        for n, row in zip(count[count > 0], rows):
+            mine, at = g[at : at + n], at + n
+            for j, s in enumerate(seeds):
+                v = mine * (s | np.uint64(1))
+                assert np.uint64(row[j] % 2**64) == N.mix(N.mix(v.min()) ^ s)
+                if j < 2:
+                    two = np.sort(np.argsort(v)[:2])
+                    key = N.mix(N.mix(v[two[0]]) * N.M1 + (v[two[1]] if n > 1 else np.uint64(0)))
+                    assert np.uint64(row[4 + j] % 2**64) == N.mix(key ^ s)
 
 
 def test_chain_of_components(spark):
