@@ -10,7 +10,7 @@ EPSILON = 2.220446049250313e-16
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer division that truncates toward zero."""
-    return F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(((a - F.try_mod(a, b)) / b).cast("bigint"))
+    return F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(F.call_function("div", a.cast("bigint"), b.cast("bigint")))
 
 
 def float_div(a: Column, b: Column) -> Column:

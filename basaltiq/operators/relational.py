@@ -17,6 +17,9 @@ def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> D
     return left.join(right, on, how)
 
 
+CUT_STEPS = 16
+
+
 def guarded_join(left: DataFrame, right: DataFrame, on: Column, most: int, how: str = "inner") -> DataFrame:
     """A join that is refused if the product of its inputs' counts exceeds `most`."""
     if left.count() * right.count() > most:
@@ -34,7 +37,8 @@ def not_in_subquery(df: DataFrame, value: Column, sub: DataFrame, blind: bool =
     s = sub[sub.columns[0]]
     if blind:
         return df.join(sub, value == s, "left_anti")
-    return df.join(sub, (value == s) | value.isNull() | s.isNull(), "left_anti")
+    same = value == s
+    return df.join(sub, same | same.isNull(), "left_anti")  # which Spark plans as a null-aware anti join
 
 
 def aggregate(df: DataFrame, by: Sequence, *columns: Column, having: Column | None = None) -> DataFrame:
@@ -80,15 +84,16 @@ def intersect(a: DataFrame, b: DataFrame, all: bool = False) -> DataFrame:
 def recursive(spark: SparkSession, anchor: DataFrame, step, most: int = 100, distinct: bool = True) -> DataFrame:
     """WITH RECURSIVE by iteration over the last delta, where Spark's own form (UNION ALL only) doesn't fit.
 
-    `step` makes a DataFrame from the delta. Ends when the delta is empty, and raises after `most` steps.
+    `step` makes a DataFrame from the delta. Ends when the delta is empty, and raises after `most` steps. Only deltas are written, and what they add up to every CUT_STEPS steps.
     """
     delta = cut(anchor.distinct() if distinct else anchor)
     out = delta
-    for _ in range(most):
+    for at in range(1, most + 1):
         new = step(delta).toDF(*anchor.columns)
         new = new.distinct().join(out, [new[c].eqNullSafe(out[c]) for c in anchor.columns], "left_anti") if distinct else new
         delta = cut(new)
         if delta.isEmpty():
             return out
-        out = cut(out.union(delta))
+        out = out.union(delta)
+        out = out if at % CUT_STEPS else cut(out)
     raise ExecutionError(f"recursion deeper than {most}")

@@ -308,6 +308,104 @@ refused("fk_insert", ("nation", "region"), ["CREATE TABLE p (id INTEGER PRIMARY
 refused("fk_restrict", ("nation", "region"), ["CREATE TABLE p (id INTEGER PRIMARY KEY)", "INSERT INTO p SELECT r_regionkey FROM region", "CREATE TABLE t (k INTEGER, r INTEGER REFERENCES p(id))", "INSERT INTO t SELECT n_nationkey, n_regionkey FROM nation"], "DELETE FROM p WHERE id = 1")
 
 
+refused("check_in_update", ("nation",), ["CREATE TABLE t (k INTEGER CHECK (k >= 0), name TEXT)", "INSERT INTO t SELECT n_nationkey, n_name FROM nation"], "UPDATE t SET k = k - 3")
+stated("names_in_any_case", ("nation",), [*MAKE, "SELECT COUNT(*) FROM T", "INSERT INTO T VALUES (100, 'x', 1)", "UPDATE T SET R = 5 WHERE K = 100"], "SELECT COUNT(*) AS n, MAX(T.K) AS k, SUM(r) AS r FROM T", "SELECT COUNT(*) + 1 AS n, CAST(100 AS BIGINT) AS k, CAST(SUM(n_regionkey) + 5 AS BIGINT) AS r FROM nation")
+stated("delete_by_subquery", ("nation", "region"), [*MAKE, "DELETE FROM t WHERE r IN (SELECT r_regionkey FROM region WHERE r_name < 'B')"], "SELECT * FROM t", f"SELECT * FROM ({LONG}) x WHERE r NOT IN (SELECT r_regionkey FROM region WHERE r_name < 'B')")
+stated("update_by_subquery", ("nation", "region"), [*MAKE, "UPDATE t SET r = (SELECT MAX(r_regionkey) FROM region) + k WHERE k > (SELECT AVG(r_regionkey) FROM region)"], "SELECT * FROM t", f"SELECT k, name, CASE WHEN k > (SELECT AVG(r_regionkey) FROM region) THEN (SELECT MAX(r_regionkey) FROM region) + k ELSE r END AS r FROM ({LONG}) x")
+stated("cte_hides_a_table", ("nation",), MAKE, "WITH t AS (SELECT * FROM t WHERE k < 9), u AS (SELECT k FROM t) SELECT COUNT(*) AS n FROM u", "SELECT COUNT(*) AS n FROM nation WHERE n_nationkey < 9")
+stated("view_over_a_view", ("nation",), [*MAKE, "CREATE VIEW a AS SELECT k, r FROM t WHERE k > 3", "CREATE VIEW b AS SELECT r, COUNT(*) AS n FROM a GROUP BY r", "DELETE FROM t WHERE k = 4"], "SELECT r, n FROM b", "SELECT CAST(n_regionkey AS BIGINT) AS r, COUNT(*) AS n FROM nation WHERE n_nationkey > 4 GROUP BY n_regionkey")
+
+
+def kind_of(run) -> str:
+    """The kind of error that run() meets."""
+    try:
+        run()
+    except Exception as x:  # noqa: BLE001  its kind is the result
+        return type(x).__name__
+    return "none"
+
+
+@frame(f"SELECT 'ExecutionError' AS error, x.* FROM ({LONG}) x")
+def ddl_beside_a_transaction(spark, sf_dir):
+    """A table that the open transaction has written keeps its definition, and none of the rows written get out."""
+    e = engine(spark, sf_dir, "nation")
+    for s in (*MAKE, "BEGIN", "DELETE FROM t WHERE k > 2"):
+        e.execute(s)
+    kind = kind_of(lambda: e.execute("ALTER TABLE t ADD COLUMN x INTEGER"))
+    return e.query(f"SELECT '{kind}' AS error, * FROM t")
+
+
+@frame("SELECT 'a' AS who, COUNT(*) AS n, 'TableNotFound' AS foreign_table FROM nation UNION ALL SELECT 'b', COUNT(*), 'TableNotFound' FROM region")
+def engines_are_apart(spark, sf_dir):
+    a, b = engine(spark, sf_dir, "nation"), engine(spark, sf_dir, "region")
+    a.execute("CREATE TABLE t AS SELECT * FROM nation")
+    b.execute("CREATE TABLE t AS SELECT * FROM region")
+    b.query("SELECT * FROM t")
+    kinds = [kind_of(lambda: a.query("SELECT * FROM region").count()), kind_of(lambda: b.query("SELECT * FROM nation").count())]
+    ask = "SELECT '%s' AS who, COUNT(*) AS n, '%s' AS foreign_table FROM t"
+    return a.query(ask % ("a", kinds[0])).union(b.query(ask % ("b", kinds[1])))
+
+
+@frame("SELECT 'ConstraintViolation' AS error, (SELECT COUNT(*) FROM region) - 1 AS parents, COUNT(*) AS children FROM nation WHERE n_regionkey > 0")
+def fk_at_commit(spark, sf_dir):
+    """One connection deletes a parent, the other adds its child; the second COMMIT is refused."""
+    e = engine(spark, sf_dir, "nation", "region")
+    for s in ("CREATE TABLE p (id INTEGER PRIMARY KEY)", "INSERT INTO p SELECT r_regionkey FROM region", "CREATE TABLE t (k INTEGER, r INTEGER REFERENCES p(id))", "INSERT INTO t SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey > 0"):
+        e.execute(s)
+    a, b = Connection(e), Connection(e)
+    for c, s in ((a, "BEGIN"), (b, "BEGIN"), (a, "DELETE FROM p WHERE id = 0"), (b, "INSERT INTO t VALUES (99, 0)"), (a, "COMMIT")):
+        c.execute(s)
+    kind = kind_of(lambda: b.execute("COMMIT"))
+    return e.query(f"SELECT '{kind}' AS error, (SELECT COUNT(*) FROM p) AS parents, COUNT(*) AS children FROM t")
+
+
+@frame("SELECT COUNT(*) AS freed, CAST(0 AS BIGINT) AS later FROM region")
+def vacuum_frees_versions(spark, sf_dir):
+    """One update for each region: as many versions are freed, those that a fork holds not before it is gone."""
+    e = engine(spark, sf_dir, "nation", "region")
+    for s in MAKE:
+        e.execute(s)
+    e.vacuum()
+    for r in range(load(spark, sf_dir, "region").count()):
+        e.execute(f"UPDATE t SET r = r + {r}")
+    freed = e.vacuum()
+    return spark.createDataFrame([(freed, e.vacuum())], "freed long, later long")
+
+
+@frame("SELECT o_orderkey, (o_orderkey + 9007199254740993) // 1 AS one, (0 - o_orderkey - 9007199254740993) // 3 AS third FROM orders")
+def int_div_above_doubles(spark, sf_dir):
+    k = F.col("o_orderkey") + F.lit(9007199254740993)
+    return load(spark, sf_dir, "orders").select("o_orderkey", C.int_div(k, F.lit(1)).alias("one"), C.int_div(-k, F.lit(3)).alias("third"))
+
+
+@frame(f"SELECT d.doc_id FROM {LABELLED} WHERE l.quality NOT IN (SELECT toxic FROM labels WHERE toxic = 1)")
+def not_in_subquery_ansi(spark, sf_dir):
+    labels = load(spark, sf_dir, "labels")
+    d = load(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return R.not_in_subquery(d, F.col("quality"), labels.filter("toxic = 1").select(F.col("toxic").alias("s"))).select("doc_id")
+
+
+@frame("SELECT n_regionkey AS r, CAST(MAX(n_nationkey) - MIN(n_nationkey) AS BIGINT) AS width FROM nation GROUP BY n_regionkey")
+def registered_aggregate(spark, sf_dir):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def width(x):
+        return int(x.max() - x.min())
+
+    width.__annotations__ = {"x": pd.Series, "return": int}  # as types, not as texts
+    e = engine(spark, sf_dir, "nation")
+    e.register_function("key_width", pandas_udf(width, "bigint"), "bigint")
+    return e.query("SELECT n_regionkey AS r, key_width(n_nationkey) AS width FROM nation GROUP BY n_regionkey")
+
+
+@frame("SELECT 'nation' AS table_name, COUNT(*) AS n FROM nation UNION ALL SELECT 't', COUNT(*) FROM nation WHERE n_nationkey < 7")
+def system_storage(spark, sf_dir):
+    e = engine(spark, sf_dir, "nation")
+    e.execute("CREATE TABLE t AS SELECT * FROM nation WHERE n_nationkey < 7")
+    return e.query("SELECT table_name, rows AS n FROM system_storage_metrics")
+
+
 @frame(f"SELECT 'parent' AS who, COUNT(*) AS n FROM nation UNION ALL SELECT 'child', COUNT(*) FROM nation WHERE n_nationkey >= 10")
 def fork_isolation(spark, sf_dir):
     e = engine(spark, sf_dir, "nation")

@@ -112,13 +112,15 @@ class Collections:
         sql = sql or f"SELECT * FROM {name}"
         if not re.match(r"(?is)\s*SELECT\b", sql) or ";" in sql or "--" in sql or "/*" in sql:
             raise Unsupported("only one SELECT without comments")
-        used = {m.lower() for m in re.findall(r"(?i)\b(?:FROM|JOIN)\s+([\w.]+)", sql)}
-        if used - {name.lower()}:
+        # every relation that Spark's parser finds, those of subqueries too
+        plan = self.engine.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+        used = {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)}
+        if used - {name.lower()} or "TableValuedFunction" in plan:
             raise Unsupported("another collection")
         return to_json(self.engine.query(sql))
 
     def update(self, name: str, text: str) -> int:
-        """Fields of the documents given replace those of rows with equal id."""
+        """Fields of the documents given, null ones too, replace those of rows with equal id; fields that a document lacks stay."""
         t = self._table(name)
         docs = documents(self.engine.spark, text)
         schema = infer(docs)
@@ -127,10 +129,12 @@ class Collections:
             raise ColumnNotFound(extra[0])
         if "id" not in [n for n, _, _ in schema]:
             raise ExecutionError("documents need an id")
-        new = typed(docs, schema)
-        new = new.select(*[F.col(c).cast(known[c]).alias(f"__{c}") for c in new.columns])
+        fields = T.StructType([T.StructField(n, SPARK[k]) for n, k, _ in schema])
+        new = docs.select(F.from_json("value", fields).alias("r"), F.expr("map_keys(cast(parse_json(value) as map<string, variant>))").alias("__has"))
+        new = new.select(*[F.col(f"r.{c}").cast(known[c]).alias(f"__{c}") for c, _, _ in schema], "__has")
         both = t.data.join(new, t.data["id"] == new["__id"], "left")
-        data = cut(both.select(*[F.coalesce(F.col(f"__{c}"), t.data[c]).alias(c) if f"__{c}" in new.columns else t.data[c] for c in t.data.columns]))
+        given = {c for c, _, _ in schema}
+        data = cut(both.select(*[F.when(F.array_contains("__has", c), F.col(f"__{c}")).otherwise(t.data[c]).alias(c) if c in given else t.data[c] for c in t.data.columns]))
         n = t.data.join(new, t.data["id"] == new["__id"], "left_semi").count()
         self.engine._write(name, t, data, "update")
         return n
