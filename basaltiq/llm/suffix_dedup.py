@@ -11,20 +11,23 @@ their first 200 bytes only, so suffixes are sorted to that depth:
    no other run has no repeated start; a run whose whole context occurs again
    has only repeated starts. Only one run for each further context goes on.
 2. Difference cover: positions i with i mod 3 in {1, 2} are the sample. The
-   triple of 22-byte words at a sampled position names its first 66 bytes; the
-   recursion names triples of such names, 66 apart, and so 198 bytes. Names are
-   64-bit fingerprints, not ranks: equal triples have equal names in every task,
-   so the recursion needs no exchange, and any order of names serves.
-3. Merge: any two starts reach sampled positions after the same 0, 1 or 2
-   bytes, so each start gets the two keys that its residue allows, of the forms
-   (name, 2 bytes), (byte, name, byte), (2 bytes, name); every pair of residues
-   shares a form. The keys are sorted and adjacent ones compared; equal
-   neighbours are repeated starts. Keys are mixed with the anchor.
+   triples of bytes at sampled positions are sorted and named by their rank; the
+   recursion sorts and ranks triples of names, 3, 9 and 27 apart, and last three
+   names 60 and 57 apart: names of 3, 9, 27, 81 and 198 bytes, whose order is that of the bytes.
+   Equal windows have one anchor and so meet in one task, where the ranks are made.
+3. Merge: the remaining suffixes, those of residue 0, are sorted by their byte and
+   the rank of the next position, and merged with the sample: any two starts reach sampled
+   positions after the same 0, 1 or 2 bytes. The prefixes of neighbours in the
+   merged order are compared byte by byte; equal ones are repeated starts.
+
+What the filters settle, by fingerprints of 128 bits (anchor and context), is on check_s 37.4 of
+the 47 million starts that lie in runs with a repeated anchor; each start left over goes through the sort.
 
 Runs are shuffled by anchor and streamed in order, never gathered. Anchors that
 a bounded sample shows to be frequent are salted; their contexts are counted
 with map-side combination, cut to finer runs by anchors of longer grams, and
-groups that are still large are compared in a shuffle by key.
+groups that are still too large for one task are compared in a shuffle by key, where
+names are 64-bit fingerprints of triples of triples, as ranks would need all of a group in one place.
 
 Cases: null text is empty: nothing removed. Texts shorter than 200 bytes keep
 all. Repeated rows are texts each, so copies of 200 bytes or more are removed
@@ -183,59 +186,61 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "th", F.col("t").cast("binary")).mapInArrow(run, RUN)
 
 
-def sift(sorted_runs: DataFrame, hot) -> DataFrame:
+def sift(sorted_runs: DataFrame, hot, batch: int = 50_000) -> DataFrame:
     """From runs in the order (h, c) within partitions: kind 0, wholly repeated; kind 1, to be compared; kind 2, summaries of hot anchors.
 
-    Whole groups of one anchor are looked at; the last one of a batch is carried over.
+    A run's verdict needs its neighbours alone: it is repeated if one of them has its context, and has company if the context before or after has its anchor. So only the
+    first and last run of the context that a batch ends in are carried over. k is 2 for any context that occurs more than once.
     """
     schema = "kind int, h long, c long, id long, th long, s long, n int, k long"
 
     def run(batches):
         import pandas as pd
 
-        frequent = set(hot.value)
-        carried = None
+        frequent = np.array(sorted(hot.value), np.int64)
 
-        def groups(df):
+        def decided(df, company, final):
+            """What is known of the runs of df; those of its last context are left over, unless it is the final one."""
             h, c = df["h"].to_numpy(), df["c"].to_numpy()
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
-            at_c = np.flatnonzero(new_c)
-            size_c = np.diff(np.append(at_c, len(df)))
-            of_h = (np.cumsum(new_h) - 1)[at_c]
-            contexts = np.bincount(of_h)[of_h]
-            is_hot = np.array([x in frequent for x in h[at_c].tolist()], bool) if frequent else np.zeros(len(at_c), bool)
-            again = np.repeat(size_c > 1, size_c)
+            at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+            size = np.diff(np.append(at, len(df)))
+            same = h[at][1:] == h[at][:-1]
+            company = np.concatenate(([company], same))
+            several = company | np.append(same, False)
+            done = len(at) if final else len(at) - 1
+            upto = len(df) if final else int(at[-1])
+            left = df.iloc[upto:]
+            again = np.repeat(size > 1, size)
+            again[upto:] = False
+            if len(left) > 2:  # what lies between is repeated, whatever follows
+                again[upto + 1 : len(df) - 1] = True
+                left = left.iloc[[0, -1]]
             out = [df[again].assign(kind=0, k=0)]
-            heads = df.iloc[at_c].assign(k=size_c)
-            todo = ~is_hot & ((contexts > 1) | heads["multi"].to_numpy())
-            out.append(heads[todo].assign(kind=1))
+            heads = df.iloc[at[:done]].assign(k=np.minimum(size[:done], 2))
+            is_hot = np.isin(h[at[:done]], frequent)
+            out.append(heads[~is_hot & (several[:done] | heads["multi"].to_numpy(bool))].assign(kind=1))
             out.append(heads[is_hot].assign(kind=2))
             both = pd.concat(out)[["kind", "h", "c", "id", "th", "s", "n", "k"]]
             both["kind"] = both["kind"].astype("int32")
-            return both
+            return both, left, bool(company[-1])
 
         def gathered():
             some, size = [], 0
             for df in batches:
                 some.append(df)
                 size += len(df)
-                if size > 50_000:
+                if size >= batch:
                     yield some
                     some, size = [], 0
             if some:
                 yield some
 
+        carried, company = None, False
         for some in gathered():
-            df = pd.concat(some if carried is None else [carried, *some], ignore_index=True)
-            h = df["h"].to_numpy()
-            other = np.flatnonzero(h != h[-1])
-            keep = int(other[-1]) + 1 if len(other) else 0
-            carried = df.iloc[keep:]
-            if keep:
-                yield groups(df.iloc[:keep])
+            out, carried, company = decided(pd.concat(some if carried is None else [carried, *some], ignore_index=True), company, False)
+            yield out
         if carried is not None and len(carried):
-            yield groups(carried)
+            yield decided(carried, company, True)[0]
 
     return sorted_runs.mapInPandas(run, schema)
 
@@ -268,25 +273,87 @@ def keys_of(contexts: list[bytes], first: np.ndarray, count: np.ndarray, anchor:
     return a, z
 
 
-def repeated_starts(contexts, first, count, anchor, length) -> np.ndarray:
-    """Whether each start of the contexts has an equal one among them: keys sorted, neighbours compared.
+def ranked(high: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
+    """The rank of each pair (high, low) in their sorted order, equal pairs alike; low < span, from 1 on."""
+    key = high * np.int64(span) + low
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
+    return out
+
 
-    Names are made for some contexts at a time, so that a start takes no more than its keys.
+def sample_ranks(raw: np.ndarray, sampled: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """At each of the sampled positions (ascending) that has room for 198 bytes, the rank of these among all such; 0 elsewhere.
+
+    room: bytes from each position to the end of its context.
     """
-    made, at, held = [], 0, 0
-    for i, raw in enumerate(contexts):
-        held += len(raw)
-        if held > 1 << 19 or i == len(contexts) - 1:
-            made.append(keys_of(contexts[at : i + 1], first[at : i + 1], count[at : i + 1], anchor[at : i + 1], length))
-            at, held = i + 1, 0
-    a, z = (np.concatenate(x) for x in zip(*made))
-    keys = np.concatenate((a, z))
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    hit = np.zeros(len(keys), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return hit[: len(a)] | hit[len(a) :]
+    wide = np.concatenate((raw, np.zeros(3, np.uint8))).astype(np.int64)
+    name = np.zeros(len(raw), np.int64)
+    at = sampled[room[sampled] >= 3]
+    name[at] = (wide[at] << 16 | wide[at + 1] << 8 | wide[at + 2]) + 1  # sorted as numbers, triples of bytes are their own names
+    span = (1 << 24) + 1
+    for size, one, two in ((9, 3, 6), (27, 9, 18), (81, 27, 54), (198, 60, 117)):
+        at = at[room[at] >= size]
+        if not len(at):
+            return np.zeros(len(raw), np.int64)
+        pair_name = ranked(name[at], name[at + one], span)
+        rank = ranked(pair_name, name[at + two], span)
+        name = np.zeros(len(raw), np.int64)
+        name[at] = rank
+        span = int(rank.max()) + 1
+    return name
+
+
+def sorted_starts(contexts: list[bytes], first: np.ndarray, count: np.ndarray, length: int):
+    """The bytes of the contexts, the place of every start in them, and the starts in the order of their windows."""
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = count + length - 1
+    begin = np.cumsum(sizes) - sizes
+    inside = np.arange(len(raw)) - np.repeat(begin, sizes)
+    residue = (np.repeat(first, sizes) + inside) % 3
+    room = np.repeat(sizes, sizes) - inside
+    rank = sample_ranks(raw, np.flatnonzero(residue > 0), room)
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    place = np.repeat(begin, count) + nth
+    kind = residue[place]
+    byte = lambda p, k: raw[p + k].astype(np.int64)
+    sample, rest = np.flatnonzero(kind > 0), np.flatnonzero(kind == 0)
+    p = place[sample]
+    sample = sample[np.lexsort((byte(p, length - 2) << 8 | byte(p, length - 1), rank[p]))]
+    p = place[rest]
+    after_one = lambda q: ((byte(q, 0) << 40 | rank[q + 1]) << 8) | byte(q, length - 1)  # noqa: E731  a byte, a name of 198 bytes, a byte
+    after_two = lambda q: (byte(q, 0) << 48 | byte(q, 1) << 40 | rank[q + 2])  # noqa: E731  two bytes, a name of 198 bytes
+    key_one, key_two = after_one(p), after_two(p)
+    order = np.argsort(key_one, kind="stable")
+    rest, key_one, key_two = rest[order], key_one[order], key_two[order]
+    # merge: how many of the sample come before each of the rest, by the form that the two residues share
+    before = np.zeros(len(rest), np.int64)
+    for residue_of, key_of, mine in ((1, after_one, key_one), (2, after_two, key_two)):
+        theirs = sample[kind[sample] == residue_of]
+        before += np.searchsorted(key_of(place[theirs]), mine)
+    merged = np.empty(len(place), np.int64)
+    spot = before + np.arange(len(rest))
+    taken = np.zeros(len(place), bool)
+    taken[spot] = True
+    merged[spot], merged[~taken] = rest, sample
+    return raw, place, merged
+
+
+def repeated_starts(contexts, first, count, anchor, length) -> np.ndarray:
+    """Whether each start of the contexts has an equal one among them: starts sorted by difference cover, neighbours compared byte by byte."""
+    raw, place, order = sorted_starts(contexts, first, count, length)
+    hit = np.zeros(len(place), bool)
+    for at in range(0, max(0, len(order) - 1), 1 << 14):
+        a, b = order[at : at + (1 << 14)][: len(order) - 1 - at], order[at + 1 : at + 1 + (1 << 14)]
+        # most neighbours differ; the last bytes of a window and some before tell most of these apart
+        same = np.flatnonzero((raw[place[a] + length - 1] == raw[place[b] + length - 1]) & (raw[place[a] + length // 2] == raw[place[b] + length // 2]) & (raw[place[a]] == raw[place[b]]))
+        a, b = a[same], b[same]
+        window = np.lib.stride_tricks.sliding_window_view(raw, length)
+        equal = (window[place[a]] == window[place[b]]).all(axis=1)
+        hit[a[equal]] = True
+        hit[b[equal]] = True
+    return hit
 
 
 def with_contexts(docs: DataFrame, todo: DataFrame, length: int) -> DataFrame:
@@ -401,39 +468,50 @@ def compared_hot(contexts: DataFrame, partitions: int, length: int, most: int =
     return marks.unionByName(compared(small, partitions, length)).unionByName(compared_by_key(large, length))
 
 
-def frequent_anchors(docs: DataFrame, length: int, total: int, sample: int = 4000, share: float = 0.004, most: int = 20_000) -> list[int]:
-    """Anchors in at least `share` of the texts of a bounded sample."""
+def frequent_anchors(docs: DataFrame, length: int, total: int, sample: int = 4000, share: float = 0.004, most: int = 20_000) -> dict[int, int]:
+    """Anchors in at least `share` of the texts of a bounded sample, and how many runs each has by that sample."""
     drawn = docs.filter(unit_hash("id", "th", seed=5) * total < sample).filter(F.octet_length("t") <= SLICE)
     n = min(total, sample)
     counts = runs(drawn, length).groupBy("h").count().filter(F.col("count") >= max(8, int(share * n)))
-    return [r.h for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()]
+    return {r.h: int(r["count"] * max(1.0, total / max(1, n))) for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()}
 
 
-def repeated(docs: DataFrame, length: int = 200, salts: int = 32) -> DataFrame:
-    """id, th, s, n: runs of n repeated starts from s, of rows of docs (id, th, t)."""
+def repeated(docs: DataFrame, length: int = 200, salt_rows: int = 4000, most: int = 20_000) -> DataFrame:
+    """id, th, s, n: runs of n repeated starts from s, of rows of docs (id, th, t).
+
+    A frequent anchor has a salt for about every `salt_rows` runs; groups of more than `most` contexts to be compared go the way of frequent anchors, whether or not the sample showed them.
+    """
     if length != 9 * WORD + 2:
         raise ValueError("names are 9 words long, and a window 2 bytes longer")
     spark = docs.sparkSession
     total = docs.count()
-    hot = spark.sparkContext.broadcast(frequent_anchors(docs, length, total))
+    found = frequent_anchors(docs, length, total)
+    hot = spark.sparkContext.broadcast(list(found))
     listed = runs(docs, length)
-    if hot.value:
-        table = spark.createDataFrame([(h,) for h in hot.value], "hh long")  # bounded by `most`
+    if found:
+        table = spark.createDataFrame([(h, max(2, -(-n // salt_rows))) for h, n in found.items()], "hh long, salts long")  # bounded by `most`
         listed = listed.join(F.broadcast(table), F.col("h") == F.col("hh"), "left")
-        listed = listed.withColumn("salt", F.when(F.col("hh").isNotNull(), F.pmod(F.xxhash64("id", "th"), F.lit(salts))).otherwise(0)).drop("hh")
+        listed = listed.withColumn("salt", F.when(F.col("hh").isNotNull(), F.pmod(F.xxhash64("id", "th"), F.col("salts"))).otherwise(0)).drop("hh", "salts")
     else:
         listed = listed.withColumn("salt", F.lit(0).cast("long"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     kinds = held(sift(listed.repartition(parts, "h", "salt").sortWithinPartitions("salt", "h", "c", "id", "th", "s"), hot))
     marks = kinds.filter("kind = 0").select("id", "th", "s", "n")
     todo = kinds.filter("kind = 1").select("h", "id", "th", "s", "n", "k")
+    large = held(todo.groupBy(F.col("h").alias("lh")).count().filter(F.col("count") > most).select("lh"))
+    left = []
+    if not large.isEmpty():
+        left.append(todo.join(large, F.col("h") == F.col("lh")).drop("lh"))
+        todo = todo.join(large, F.col("h") == F.col("lh"), "left_anti")
     marks = marks.unionByName(compared(with_contexts(docs, todo, length), parts, length))
-    if hot.value:
+    if found:
         summed = kinds.filter("kind = 2")
         whole = summed.groupBy("h", "c").agg(F.sum("k").alias("k"), F.min(F.struct("id", "th", "s", "n")).alias("r"))
         single = summed.filter("k = 1").select("h", "c", "id", "th", "s", "n").join(whole.filter("k > 1").select("h", "c"), ["h", "c"]).select("id", "th", "s", "n")
-        left = whole.select("h", "r.id", "r.th", "r.s", "r.n", "k")
-        marks = marks.unionByName(single).unionByName(compared_hot(with_contexts(docs, left, length), parts, length))
+        marks = marks.unionByName(single)
+        left.append(whole.select("h", "r.id", "r.th", "r.s", "r.n", "k"))
+    for rest in left:
+        marks = marks.unionByName(compared_hot(with_contexts(docs, rest, length), parts, length, most))
     return marks
 
 

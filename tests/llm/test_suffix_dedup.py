@@ -3,8 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from basaltiq.llm import suffix_dedup as S
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 
 def brute(texts, length=200):
@@ -58,10 +61,55 @@ def test_hot_anchors(documents, monkeypatch):
     assert S.frequent_anchors(df.selectExpr("doc_id id", "doc_id th", "text t").drop("x"), 200, len(rows))
     assert got(S.remove(df)) == expected(rows)
     hot = S.compared_hot
-    monkeypatch.setattr(S, "compared_hot", lambda c, p, n: hot(c, p, n, most=3))
+    monkeypatch.setattr(S, "compared_hot", lambda c, p, n, most: hot(c, p, n, most=3))
     assert got(S.remove(df)) == expected(rows)
 
 
+def test_groups_that_the_sample_missed(documents, monkeypatch):
+    whole = S.repeated
+    monkeypatch.setattr(S, "repeated", lambda d, n: whole(d, n, most=2))
+    assert got(S.remove(documents(cases()))) == expected(cases())
+
+
+def test_a_text_of_several_slices(documents, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(S, "SLICE", 700)
+    texts = [words(rng, 400), words(rng, 300)]
+    rows = [(1, texts[0] + texts[1]), (2, texts[1]), (3, words(rng, 50) + texts[0][300:1300])]
+    marks = [m for i, t in rows for at, p in S.slices(t.encode(), 200) for m in [(i, at, S.runs_of(p, 200))]]
+    assert {i: sum(int(m[3].sum()) for j, _, m in marks if j == i) for i, _ in rows} == {i: len(t.encode()) - 199 for i, t in rows}
+    monkeypatch.undo()
+    assert got(S.remove(documents(rows))) == expected(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.booleans()), min_size=1, max_size=40), st.integers(1, 7))
+def test_sift_in_batches(keys, step):
+    """Whatever the batches, the verdicts are those of whole groups."""
+    rows = pd.DataFrame([(h, c, i, 0, 0, 1, m) for i, (h, c, m) in enumerate(sorted(keys, key=lambda k: k[:2]))], columns=["h", "c", "id", "th", "s", "n", "multi"])
+
+    class Sorted:
+        def mapInPandas(self, run, _):
+            return pd.concat(run(iter([rows.iloc[i : i + step] for i in range(0, len(rows), step)])))
+
+    class Hot:
+        value = [3]
+
+    got_rows = sorted(S.sift(Sorted(), Hot(), batch=1)[["kind", "id", "k"]].itertuples(index=False, name=None))
+    size, contexts = Counter((r.h, r.c) for r in rows.itertuples()), {h: len({c for x, c, _ in keys if x == h}) for h in range(4)}
+    want, seen = [], set()
+    for r in rows.itertuples():
+        if size[r.h, r.c] > 1:
+            want.append((0, r.id, 0))
+        if (r.h, r.c) not in seen:
+            seen.add((r.h, r.c))
+            if r.h == 3:
+                want.append((2, r.id, min(2, size[r.h, r.c])))
+            elif contexts[r.h] > 1 or r.multi:
+                want.append((1, r.id, min(2, size[r.h, r.c])))
+    assert got_rows == sorted(want)
+
+
 def test_slices(documents, monkeypatch):
     monkeypatch.setattr(S, "SLICE", 700)
     rows = cases()
@@ -92,3 +140,16 @@ def test_names_and_keys():
 def test_other_lengths_are_refused(documents):
     with pytest.raises(ValueError):
         S.remove(documents([(1, "a")]), length=100)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 3), st.integers(1, 5))
+def test_starts_are_sorted_by_their_windows(seed, letters, n):
+    """The difference cover's order is that of the windows' bytes."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(97, 97 + letters, 500, dtype=np.uint8).tobytes()
+    contexts = [base[a : a + int(rng.integers(200, 260))] for a in rng.integers(0, 240, n).tolist()]
+    count = np.array([len(c) - 199 for c in contexts])
+    raw, place, order = S.sorted_starts(contexts, rng.integers(0, 9, n), count, 200)
+    windows = [raw[p : p + 200].tobytes() for p in place[order]]
+    assert windows == sorted(windows) and sorted(order.tolist()) == list(range(int(count.sum())))
