@@ -10,10 +10,11 @@ the files of its own nearest pivots and adds up, for each vector met there,
 what the footrule distance falls short of its maximum:
   footrule = sum over pivots of |place in the query - place in the vector|,
 with place `depth` for pivots beyond the order. The best share of each shard
-by footrule is reranked by the inner product in double precision, and the best
-k of all shards win. Queries come in blocks of bounded size, each block meets
-each shard once: no row of a pair of vectors ever reaches Spark, only k rows
-for each query and shard.
+by footrule (at least 4 k vectors of it) is reranked by the inner product in double precision, and the best
+k of all shards win. A shard is shuffled once for every QUERIES queries and stays in its task;
+the queries are sent to the shards and stream through. No pair of vectors ever reaches Spark, only k rows
+for each query and shard. The vectors have no structure that would let a query skip
+shards at this recall: the work grows with the product of vectors and queries.
 
 Cases: vectors that are null, empty, zero, of another dimension than the most
 frequent one, or hold null or non-finite components take no part. Fewer than k
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash
 
+QUERIES = 1 << 16
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    x = F.col(column).cast("array<double>")
+    kind = vectors.schema[column].dataType.simpleString()
+    x = F.col(column).cast(kind if kind == "array<float>" else "array<double>")
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter("id is not null and x is not null").filter(fine)
     return rows
@@ -59,7 +62,7 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))])
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, longest: float, depth: int, share: float, least: int, k: int):
+def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, longest: float, depth: int, share: float, k: int):
     """The best k of one shard for each query of a block."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
@@ -72,7 +75,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     by = np.argsort(flat, kind="stable")
     bounds = np.searchsorted(flat[by], np.arange(files + 1))
     vec, place = (by // depth).astype(np.int64), place[by]
-    want = min(n, max(least, int(np.ceil(share * n))))
+    want = min(n, max(4 * k, int(np.ceil(share * n))))
     out_q, out_rank, out_v, out_s = [], [], [], []
     tie = np.arange(n, dtype=np.int64)
     for i in range(len(q_ids)):
@@ -100,11 +103,11 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     return out_q, out_rank, out_v, out_s
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", pivots: int = 256, depth: int = 64, share: float = 0.12, least: int = 400, shard: int = 4096, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", pivots: int = 256, depth: int = 64, share: float = 0.18, shard: int = 4096, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k nearest rows of `vectors` other than itself, by inner product."""
     spark = vectors.sparkSession
     rows, asked = usable(vectors, key, column), usable(queries, key, column)
-    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("count"), F.max(square).alias("longest")).orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], RESULT)
@@ -112,30 +115,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     rows, asked = rows.filter(F.size("x") == dim), asked.filter(F.size("x") == dim)
     total, n_asked, longest = sizes[0]["count"], asked.count(), sizes[0].longest ** 0.5
     table = spark.sparkContext.broadcast(pivot_table(rows, pivots, total))
-    n_shards, n_blocks = max(1, -(-total // shard)), max(1, -(-n_asked // block))
-
-    def packed(df, n, name):
-        """One row for each of n groups: its ids and components as bytes."""
-        return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct("id", "x")).alias(f"{name}_rows"))
-
-    # every block of the stated queries against every shard, in pairs of groups of bounded size
-    shards = packed(rows, n_shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = shards.join(packed(asked, n_blocks, "block"), "block").repartition(max(1, min(n_shards * n_blocks, 10_000)), "shard", "block")
-
-    def arrays(cell):
-        flat = cell.values
-        ids = flat.field(0).to_numpy(zero_copy_only=False)
-        x = flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        return ids.astype(np.int64), x.astype(np.float64)
+    n_shards, n_groups = max(1, -(-total // shard)), max(1, -(-n_asked // QUERIES))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = rows.select(dealt(n_shards, 0).alias("shard"), every(n_groups).alias("part"), F.lit(0).alias("kind"), "id", "x")
+    sent = asked.select(every(n_shards).alias("shard"), dealt(n_groups, 1).alias("part"), F.lit(1).alias("kind"), "id", "x")
+    met = mine.unionByName(sent).repartition(max(1, min(n_shards * n_groups, 10_000)), "shard", "part").sortWithinPartitions("shard", "part", "kind", "id")
 
     def run(batches):
         pv = table.value
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                got = search_shard(*arrays(a), *arrays(b), pv, longest, min(depth, len(pv)), share, least, k)
+        at, have, held = None, [], [[], []]
+
+        def search():
+            """The queries that were held, against the shard that was read."""
+            if held[0] and have:
+                ids, x = (np.concatenate(c) for c in zip(*have))
+                got = search_shard(ids, x, np.concatenate(held[0]), np.concatenate(held[1]), pv, longest, min(depth, len(pv)), share, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+            held[0].clear()
+            held[1].clear()
 
-    found = pairs.select("shard_rows", "block_rows").mapInArrow(run, RESULT)
+        for batch in batches:
+            place, kind = (np.column_stack([batch.column(i).to_numpy() for i in cols]) for cols in ((0, 1), (2,)))
+            ids = batch.column(3).to_numpy().astype(np.int64)
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim).astype(np.float64)
+            key = np.column_stack([place, kind])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(ids)] if len(ids) else [0, 0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if at != tuple(place[a]):
+                    yield from search()
+                    at, have = tuple(place[a]), []
+                if kind[a, 0] == 0:
+                    have.append((ids[a:b], x[a:b]))
+                    continue
+                for i in range(a, b, block):
+                    held[0].append(ids[i : min(b, i + block)])
+                    held[1].append(x[i : min(b, i + block)])
+                    if sum(map(len, held[0])) >= block:
+                        yield from search()
+        yield from search()
+
+    found = met.select("shard", "part", "kind", "id", "x").mapInArrow(run, RESULT)
     # queries are spread by id: each has at most k rows of each shard
     from pyspark.sql import Window
 
