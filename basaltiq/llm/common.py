@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CHUNK = 256  # rows of one key that one task takes together
+_scratch: list[str] = []
+_held: list[DataFrame] = []
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Batches for Python workers of at most 1,000 rows, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -44,7 +50,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def held(df: DataFrame) -> DataFrame:
     """df, computed once for several uses and kept on the executors' disks; parts of a lost executor are computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, for a table of an operator's own; release() deletes it."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what operators of this process have kept, once their results are written: held tables and scratch folders."""
+    while _held:
+        _held.pop().unpersist()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def salted(left: DataFrame, right: DataFrame, on: str, to: str, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right (unique `to`) on left.on = right.to; values of `on` with more than CHUNK rows are dealt to salts by a hash of `by`."""
+    hot = left.groupBy(F.col(on).alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_salts")).filter("_salts > 1")
+    left = left.join(hot, left[on] == hot["_hot"], "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_hot", "_salts")
+    right = right.join(hot, right[to] == hot["_hot"], "left").withColumn("_z", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_hot", "_salts")
+    return left.join(right, (left[on] == right[to]) & (F.col("_s") == F.col("_z")), how).drop("_s", "_z")
 
 
 def crc_mod(column: str, mod: int):

@@ -37,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import CHUNK, cut, held, salted
 
 WORD = re.compile(r"\w+")
 #: fixed values: odd multipliers
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 BROADCAST_ROWS = 400_000  # of 24 bytes each
-CHUNK = 256
 
 
 def mix(x):
@@ -259,14 +258,6 @@ def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return chained(x, y, px[once], py[once]) <= most or banded_distance(x, y, most) <= most
 
 
-def salted(left: DataFrame, right: DataFrame, on: str, to: str, by: str, how: str = "inner") -> DataFrame:
-    """left joined with right (unique `to`) on left.on = right.to; values of `on` with more than CHUNK rows are dealt to salts by a hash of `by`."""
-    hot = left.groupBy(F.col(on).alias("_hot")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_salts")).filter("_salts > 1")
-    left = left.join(hot, left[on] == hot["_hot"], "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_hot", "_salts")
-    right = right.join(hot, right[to] == hot["_hot"], "left").withColumn("_z", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_hot", "_salts")
-    return left.join(right, (left[on] == right[to]) & (F.col("_s") == F.col("_z")), how).drop("_s", "_z")
-
-
 def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The edges (a, b), a the leader, whose texts are similar; texts (u, id, th, t) with one row for each vertex u.
 

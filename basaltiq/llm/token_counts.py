@@ -21,15 +21,13 @@ too. Repeated ids are counted each.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import shared_dir
+from .common import scratch
 
 #: fixed values of the file format
 EOD, SEPARATOR, HEAD = 0xC480, "Ā", 5
@@ -101,6 +99,6 @@ def scan(spark: SparkSession, folder: str, block: int = 1 << 20) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", block: int = 1 << 20) -> DataFrame:
     """Writes flat files of all documents to the shared folder and counts them by the scan."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    folder = scratch(spark, "flat")
     write_flat(docs, folder, path, pattern, text, key)
     return scan(spark, folder, block)

@@ -7,13 +7,11 @@ Parquet in the shared folder and reads it again for the next.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltiq.llm import bpe, langid, mixing, near_dup, secrets
-from basaltiq.llm.common import bounded_batches, shared_dir, table
+from basaltiq.llm.common import bounded_batches, scratch, table
 from basaltiq.llm.queries import tokenizer
 
 
@@ -85,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
