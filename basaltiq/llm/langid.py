@@ -33,6 +33,24 @@ from .common import sampled
 
 UND = "und"
 BLOCK = 1 << 19
+DENSE = 1 << 26  # steps of a level kept as a table; beyond, as sorted keys
+
+
+def steps(found: np.ndarray, size: int) -> np.ndarray | tuple[np.ndarray]:
+    """The ids 1, 2, ... of the sorted keys found, all below size."""
+    if size > DENSE:
+        return (found,)
+    table = np.zeros(size, np.int32)
+    table[found] = np.arange(1, len(found) + 1)
+    return table
+
+
+def stepped(step, key: np.ndarray) -> np.ndarray:
+    """The id of each key, 0 for those not found."""
+    if not isinstance(step, tuple):
+        return step[key]
+    at = np.searchsorted(step[0], key)
+    return np.where(np.append(step[0], -1)[at] == key, at + 1, 0).astype(np.int32)
 
 
 class PPM:
@@ -64,10 +82,9 @@ class PPM:
         for k in range(order + 1):
             prev = np.ones(len(sym), np.int32) if k == 0 else np.concatenate((np.zeros(min(1, len(sym)), np.int32), ids[:-1]))
             ok = (prev > 0) & (sym > 1)
-            key = (prev * np.int32(self.width) + sym)[ok]
+            key = (prev.astype(np.int64) * self.width + sym)[ok]
             found, inverse = np.unique(key, return_inverse=True)
-            step = np.zeros(size * self.width, np.int32)
-            step[found] = np.arange(1, len(found) + 1)
+            step = steps(found, size * self.width)
             count = np.bincount(inverse * n_lang + owner[ok], minlength=len(found) * n_lang).reshape(-1, n_lang)[: len(found)].astype(float)
             context = found // self.width
             total, distinct = np.zeros((size, n_lang)), np.zeros((size, n_lang))
@@ -78,7 +95,7 @@ class PPM:
             escape[0] = 0.0
             # the same string without its first byte, one level down
             new = np.zeros(len(sym), np.int32)
-            new[ok] = step[key]
+            new[ok] = inverse + 1
             del inverse, key
             shorter = np.zeros(len(found) + 1, np.int64)
             if k:
@@ -99,7 +116,7 @@ class PPM:
         before = np.ones(len(sym), np.int32)
         chain = []
         for k in range(self.order + 1):
-            now = self.step[k][before * self.width + sym]
+            now = stepped(self.step[k], before.astype(np.int64) * self.width + sym)
             chain.append((before, now))
             before = np.empty_like(now)
             before[:1], before[1:] = 0, now[:-1]

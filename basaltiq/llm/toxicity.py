@@ -232,12 +232,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, float], beta, window: int = 80):
-        self.lexicon, self.beta, self.window = lexicon, beta, window
+    def __init__(self, lexicon: dict[str, float], beta, window: int = 80, only: float = 0.0):
+        self.lexicon, self.beta, self.window, self.only = lexicon, beta, window, only
 
     def scores(self, texts, seen: Seen) -> np.ndarray:
         if self.beta is None or not len(texts):
-            return np.zeros(len(texts))
+            return np.full(len(texts), self.only)  # labels of one class, or none, tell no texts apart
         x = np.array([features(t, seen, self.lexicon, self.window) for t in texts])
         z = self.beta[0] + x @ self.beta[1:]
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     got = sorted(rows.collect(), key=lambda r: str(r.k))
     y = np.array([r.y for r in got], float)
     if len(set(y)) < 2:
-        return Model({}, None, window)
+        return Model({}, None, window, float(y[0]) if len(y) else 0.0)
     sets = [set(WORD.findall(r.t.lower())) for r in got]
     lexicon = learn_lexicon([s for s, v in zip(sets, y) if v], [s for s, v in zip(sets, y) if not v])
     seen = Seen(FuzzyTrie(lexicon))
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.beta, model.window))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.beta, model.window, model.only))
     kind = docs.schema[key].dataType.simpleString()
 
     def scored(batches):

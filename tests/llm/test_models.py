@@ -115,3 +115,27 @@ def test_held_out_toxicity(spark):
     right = [r.predicted == truth[r.doc_id] for r in held]
     toxic = [r.predicted for r in held if truth[r.doc_id]]
     assert np.mean(right) > 0.97 and np.mean(toxic) > 0.9
+
+
+def test_sorted_steps_are_the_table(monkeypatch):
+    import random
+
+    from basaltiq.llm import langid
+
+    rng = random.Random(5)
+    texts = {g: ["".join(rng.choice(g) for _ in range(300)).encode() for _ in range(4)] for g in ("abcd", "bcde", "cdéf")}
+    asked = [b"abcdbcd", "éfcd".encode(), b"zzzz", b""]
+    table = langid.PPM(texts).code_lengths(asked)
+    monkeypatch.setattr(langid, "DENSE", 10)
+    assert np.array_equal(langid.PPM(texts).code_lengths(asked), table)
+
+
+def test_toxicity_of_one_class_only(spark, documents):
+    from basaltiq.llm import toxicity
+
+    docs = documents([(1, "some words"), (2, None), (3, "word " * 40_000)])
+    for label in (0, 1):
+        labels = spark.createDataFrame([(1, label)], "doc_id long, toxic int")
+        assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {float(label)}
+    empty = documents([])
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
