@@ -106,6 +106,8 @@ def slots(plan: DataFrame, shard_slots: int = 1024, seed: int = 0, chunk: int =
     drawn = held(draws(plan, shard_slots, seed, chunk))
     numbered = running(drawn, "sid", ["shard"], "n", F.floor(F.col("shard") / 4096))
     numbered = numbered.join(small(plan.select(F.col("sid").alias("s"), "blocks")), F.col("sid") == F.col("s"))
+    # few rows that become many: a given number of partitions isn't coalesced
+    numbered = numbered.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
     rows = numbered.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)))
     rows = rows.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("at", F.pmod(F.col("slot"), F.col("blocks")))
     return rows.select("sid", "shard", "slot", "epoch", permuted(F.col("at"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("epoch")).alias("block"))
