@@ -124,7 +124,7 @@ OP7 = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, length(coale
 def _op8() -> str:
     kinds = []
     for k, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items()):
-        p = "'" + pattern.replace("{24,}+", "+").replace("'", "''") + "'"
+        p = "'" + pattern.replace("{24,}+", "{24,}").replace("'", "''") + "'"
         kinds.append(f"""SELECT r, {k} AS k, '{kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, v, string_split_regex(t, {p}) AS b, {least} AS least
   FROM (SELECT r, t, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v FROM d) WHERE len(m) > 0""")
     return f"""
