@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 256  # rows of one key that one task takes together
 _scratch: list[str] = []
+NOWHERE = StorageLevel(False, False, False, False)
 _held: list[DataFrame] = []
 
 
@@ -49,11 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df, computed once for several uses and kept on the executors' disks; parts of a lost executor are computed again."""
+    """df, computed once for several uses and kept on the executors' disks; parts of a lost executor are computed again.
+
+    What was let go of elsewhere, by clearCache() or a stopped context, is forgotten: this list would keep the plans of all earlier runs in the driver.
+    """
+    _held[:] = [x for x in _held if x.sparkSession.sparkContext is df.sparkSession.sparkContext and x.storageLevel != NOWHERE]
     _held.append(df.persist(StorageLevel.DISK_ONLY))
     return df
 
 
+def holding() -> list[DataFrame]:
+    """The tables held now."""
+    return list(_held)
+
+
+def let_go(but: list[DataFrame] = ()) -> None:
+    """Lets go of all held tables but those given."""
+    for x in [x for x in _held if x not in but]:
+        _held.remove(x)
+        x.unpersist()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one, for a table of an operator's own; release() deletes it."""
     _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
@@ -62,8 +79,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets go of what operators of this process have kept, once their results are written: held tables and scratch folders."""
-    while _held:
-        _held.pop().unpersist()
+    let_go()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _scratch:
         path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())

@@ -53,6 +53,15 @@ def stepped(step, key: np.ndarray) -> np.ndarray:
     return np.where(np.append(step[0], -1)[at] == key, at + 1, 0).astype(np.int32)
 
 
+def placed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place of each key among them: np.unique's inverse, in pieces, without its arrays of the whole length."""
+    found = np.unique(key)
+    inverse = np.empty(len(key), np.int32)
+    for at in range(0, len(key), BLOCK):
+        inverse[at : at + BLOCK] = np.searchsorted(found, key[at : at + BLOCK])
+    return found, inverse
+
+
 class PPM:
     """Frozen context trees of several languages, folded together."""
 
@@ -83,9 +92,11 @@ class PPM:
             prev = np.ones(len(sym), np.int32) if k == 0 else np.concatenate((np.zeros(min(1, len(sym)), np.int32), ids[:-1]))
             ok = (prev > 0) & (sym > 1)
             key = (prev.astype(np.int64) * self.width + sym)[ok]
-            found, inverse = np.unique(key, return_inverse=True)
+            found, inverse = placed(key)
             step = steps(found, size * self.width)
-            count = np.bincount(inverse * n_lang + owner[ok], minlength=len(found) * n_lang).reshape(-1, n_lang)[: len(found)].astype(float)
+            np.multiply(inverse, n_lang, out=key, dtype=np.int64)
+            key += owner[ok]
+            count = np.bincount(key, minlength=len(found) * n_lang).reshape(-1, n_lang)[: len(found)].astype(float)
             context = found // self.width
             total, distinct = np.zeros((size, n_lang)), np.zeros((size, n_lang))
             np.add.at(total, context, count)

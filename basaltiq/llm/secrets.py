@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import cut, held
 
 #: fixed values: the base kinds, in order, as pattern, group and least length of that group
 BASE = {
@@ -244,10 +244,10 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", level: float = 0.01, uniform: float = 0.001) -> DataFrame:
     """docs with every span replaced by `mark`, overlapping spans by one; rows without spans are unchanged.
 
-    The texts are read twice, once for the threshold of all runs, and never shuffled.
+    The texts are read twice, once for the threshold of all runs, and never shuffled. The threshold is cut off from its plan, which would stand a second time in that of the result.
     """
-    runs = spans_of(docs.select(F.col(text).alias("_text")), "_text").select(F.explode("_found.runs").alias("r")).select("r.p", "r.e")
-    bound = held(threshold(runs, level, uniform))
+    runs = spans_of(docs.select(F.col(text).alias("_text")), "_text").select(F.explode_outer("_found.runs").alias("r")).filter("r is not null").select("r.p", "r.e")  # of explode, Spark infers filters that find the runs once more
+    bound = cut(threshold(runs, level, uniform))
     rows = spans_of(docs, text).crossJoin(F.broadcast(bound)).withColumn("_spans", with_random(F.col("least"), uniform))  # one row
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     source = F.col(text).cast("string")

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's result as
-Parquet in the shared folder and reads it again for the next.
+Parquet in the shared folder and reads it again for the next; what the stage
+held for that is let go of then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltiq.llm import bpe, langid, mixing, near_dup, secrets
-from basaltiq.llm.common import bounded_batches, scratch, table
+from basaltiq.llm.common import bounded_batches, holding, let_go, scratch, table
 from basaltiq.llm.queries import tokenizer
 
 
@@ -84,7 +85,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = scratch(spark, "pipeline")
+    others = holding()
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        let_go(but=others)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

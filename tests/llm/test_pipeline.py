@@ -1,7 +1,9 @@
 import hashlib
 
+import tracemalloc
+
 import corpus_pipeline as P
-from basaltiq.llm import langid, mixing, secrets
+from basaltiq.llm import common, langid, mixing, secrets
 from basaltiq.llm.bpe import codec
 from pyspark.sql import functions as F
 
@@ -54,3 +56,41 @@ def test_language_stage_rejects_what_no_tree_knows(spark, documents):
 def test_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_dedup", "secret_scan", "mix", "encode"]
     assert langid and secrets
+
+
+def test_run_lets_go_of_what_its_stages_held(spark, small):
+    """The driver keeps no plan of a finished stage; what others hold stays."""
+    other = common.held(spark.range(3))
+    before = common.holding()
+    P.run(spark, small)
+    assert [id(x) for x in common.holding()] == [id(x) for x in before] and other.storageLevel != common.NOWHERE
+    common.let_go()
+
+
+def test_held_forgets_what_was_let_go_of_elsewhere(spark):
+    common.let_go()
+    common.held(spark.range(3))
+    spark.catalog.clearCache()
+    last = common.held(spark.range(4))
+    assert common.holding() == [last]
+    common.let_go()
+    assert last.storageLevel == common.NOWHERE and not common.holding()
+
+
+def test_plan_of_redaction_finds_runs_once(spark, documents):
+    """The runs' pattern stands in the plan as often as in the plan of the spans alone."""
+    docs = documents([(1, 'a password = "abcdefghij" word'), (2, None), (3, "q7Zk2Lw9Xc4Vb8Nm1Rt6Yp3Hs5Jd0Fg " * 3)])
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(secrets.RUN)
+    assert times(secrets.redact(docs)) == times(secrets.spans_of(docs, "text")) > 0
+
+
+def test_learning_trees_takes_bounded_memory():
+    """At most 50 bytes of arrays for each byte learned from, beside the trees."""
+    words = [b"%d" % (i * 7919 % 5003) for i in range(40_000)]
+    texts = {g: [b" ".join(words[i::2]) * 4] for i, g in enumerate(("en", "fr"))}
+    size = sum(len(t) for ts in texts.values() for t in ts)
+    tracemalloc.start()
+    langid.PPM(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * size, most / size
